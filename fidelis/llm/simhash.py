@@ -31,7 +31,7 @@ _ONE = np.uint64(1)
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").reshape(-1).view("<u8")
 #: Rows of a cell compared pairwise at once; a longer cell is divided or taken in blocks.
 _CELL = 64
-_BLOCK = 2048
+_BLOCK = 512
 
 
 def shingle_hashes(text: bytes | None, words_in: int) -> np.ndarray:
@@ -130,18 +130,23 @@ def _forest(fp: np.ndarray, node: np.ndarray, radius: int) -> Iterator[tuple[np.
     """Edges that connect what is linked within one crowded cell: divided by exact bits, then in blocks."""
     parent = np.arange(len(fp))
 
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
     def unite(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, int]]:
-        for x, y in zip(a.tolist(), b.tolist(), strict=True):
-            p, q = root(x), root(y)
-            if p != q:
-                parent[max(p, q)] = min(p, q)
-                yield x, y
+        """In rounds: of the pairs that still join two trees, one for each tree to be hung below a smaller root."""
+        while True:
+            low, high = parent[a], parent[b]
+            low, high = np.minimum(low, high), np.maximum(low, high)
+            open_ = np.flatnonzero(low != high)
+            if not len(open_):
+                return
+            a, b, low, high = a[open_], b[open_], low[open_], high[open_]
+            hung, one = np.unique(high, return_index=True)
+            yield from zip(a[one].tolist(), b[one].tolist(), strict=True)
+            parent[hung] = low[one]
+            while True:  # every entry points at its root again
+                up = parent[parent]
+                if (up == parent).all():
+                    break
+                parent[:] = up
 
     kept: list[tuple[int, int]] = []
     for mask in _masks(radius + 3, 1):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, simhash, toxicity, warc
+from . import packing, simhash, substring, toxicity, warc
 from .common import table
 
 
@@ -33,7 +33,11 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), byte_bpe(), capacity=2048)
 
 
-QUERIES = {f.__name__: f for f in (op3_warc_zstd, op6_ngram_toxicity, op7_simhash_near_dedup, op8_best_fit_packing)}
+def op9_fm_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.deduplicate(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_warc_zstd, op6_ngram_toxicity, op7_simhash_near_dedup, op8_best_fit_packing, op9_fm_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {
     "op3_warc_zstd": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),

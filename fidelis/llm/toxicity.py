@@ -151,7 +151,7 @@ def fit(texts: list[str | None], toxic: list[int], prior: float | None = None, m
     return Model(model.keys, model.weights * w, float(b + shift))
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 5, per_class: int = 4000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, folds: int = 5, per_class: int = 2000) -> Model:
     """Fit on labelled documents outside the held-out fold, at most ``per_class`` of each class.
 
     The sample is the rows with the smallest hashes of doc_id; rows with a null label or doc_id take no part,

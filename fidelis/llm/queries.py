@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, simhash, substring, toxicity, warc
+from . import htmlwrap, packing, simhash, substring, topk, toxicity, warc
 from .common import table
 
 
@@ -15,6 +16,14 @@ def byte_bpe() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op2_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlwrap.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.read_archives(warc.archive_pages(table(spark, sf_dir, "pages")))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
@@ -37,8 +46,15 @@ def op9_fm_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.deduplicate(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_warc_zstd, op6_ngram_toxicity, op7_simhash_near_dedup, op8_best_fit_packing, op9_fm_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_segment_topk, op2_html_wrapper, op3_warc_zstd, op6_ngram_toxicity, op7_simhash_near_dedup, op8_best_fit_packing, op9_fm_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {
+    "op1_segment_topk": """
+        WITH v AS (SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id,
+                     CAST(list_inner_product([CAST(x AS DOUBLE) FOR x IN q.e], [CAST(x AS DOUBLE) FOR x IN c.e]) AS BIGINT) AS score
+              FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20""",
     "op3_warc_zstd": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         d AS (SELECT page_id, octet_length(encode(html)) AS n, sha1(html) AS digest FROM p),

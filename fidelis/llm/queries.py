@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmlwrap, packing, simhash, substring, topk, toxicity, warc
+from . import htmlwrap, packing, simhash, substring, topk, toxicity, warc, xent
 from .common import table
 
 
@@ -46,7 +46,12 @@ def op9_fm_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.deduplicate(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_segment_topk, op2_html_wrapper, op3_warc_zstd, op6_ngram_toxicity, op7_simhash_near_dedup, op8_best_fit_packing, op9_fm_substring_dedup)}
+def op10_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return xent.score(table(spark, sf_dir, "documents"), good)
+
+
+QUERIES = {f.__name__: f for f in (op1_segment_topk, op2_html_wrapper, op3_warc_zstd, op6_ngram_toxicity, op7_simhash_near_dedup, op8_best_fit_packing, op9_fm_substring_dedup, op10_cross_entropy_difference)}
 ORACLE_SQL: dict[str, str] = {
     "op1_segment_topk": """
         WITH v AS (SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmlwrap, packing, simhash, substring, topk, toxicity, warc, xent
+from . import decontam, htmlwrap, packing, simhash, substring, topk, toxicity, warc, xent
 from .common import table
 
 
@@ -29,6 +29,10 @@ def op3_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
 
 
+def op4_lsa_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_ngram_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -51,7 +55,7 @@ def op10_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame
     return xent.score(table(spark, sf_dir, "documents"), good)
 
 
-QUERIES = {f.__name__: f for f in (op1_segment_topk, op2_html_wrapper, op3_warc_zstd, op6_ngram_toxicity, op7_simhash_near_dedup, op8_best_fit_packing, op9_fm_substring_dedup, op10_cross_entropy_difference)}
+QUERIES = {f.__name__: f for f in (op1_segment_topk, op2_html_wrapper, op3_warc_zstd, op4_lsa_decontamination, op6_ngram_toxicity, op7_simhash_near_dedup, op8_best_fit_packing, op9_fm_substring_dedup, op10_cross_entropy_difference)}
 ORACLE_SQL: dict[str, str] = {
     "op1_segment_topk": """
         WITH v AS (SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings),

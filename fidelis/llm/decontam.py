@@ -4,9 +4,9 @@
 2. Every document is cut into overlapping passages with TF-IDF weights sqrt(tf) idf; a word that no benchmark
    item has counts as one of the rarest in the norm. A passage whose benchmark words hold too small a part of
    its norm can't reach the cosine threshold with any item (Cauchy-Schwarz) and goes no further.
-3. A randomised SVD of the remaining passages' matrix, with the items as anchoring rows, gives the latent space:
+3. A randomised SVD of the remaining passages' matrix, with the items' segments as anchoring rows, gives the latent space:
    tasks add up A'(A Q) in blocks, the driver only orthonormalises a matrix of vocabulary by rank.
-4. Passages and items are compared by cosine in that space; candidates are verified on the words around the
+4. Passages and the items' segments are compared by cosine in that space; candidates are verified on the words around the
    passage: longest common subsequence with the item, and how much of the item's answer is there.
 """
 
@@ -58,9 +58,13 @@ def position_masks(words: list[bytes]) -> dict[bytes, int]:
 
 
 class Benchmark:
-    """Items with their words, the vocabulary, and what verification needs."""
+    """Items with their words, the vocabulary, segments to compare with passages, and what verification needs.
 
-    def __init__(self, items: list[tuple[int, str, str | None]]) -> None:
+    A segment is twice as long as a passage and begins every passage's length, so that any passage that lies
+    within an item lies within a segment, however long the item.
+    """
+
+    def __init__(self, items: list[tuple[int, str, str | None]], passage_words: int) -> None:
         self.ids, self.words, self.answers = [], [], []
         for item_id, text, answer in items:
             words = fold_words(text)
@@ -72,14 +76,17 @@ class Benchmark:
         self.masks = [position_masks(w) for w in self.words]
         self.answer_masks = [position_masks(w) for w in self.answers]
         self.longest = max(map(len, self.words), default=0)
+        cuts = [(i, w[a : a + 2 * passage_words]) for i, w in enumerate(self.words) for a in range(0, max(1, len(w) - passage_words), passage_words)]
+        self.owner = np.array([i for i, _ in cuts], np.int64)
+        self.segments = [w for _, w in cuts]
 
     def weigh(self, df: np.ndarray, n_docs: int) -> None:
         self.idf = np.log((n_docs + 1) / (df + 1)) + 0.05
         self.rarest = float(np.log(n_docs + 1) + 0.05)
 
     def matrix(self) -> np.ndarray:
-        out = np.zeros((len(self.ids), len(self.vocabulary)))
-        for i, ws in enumerate(self.words):
+        out = np.zeros((len(self.segments), len(self.vocabulary)))
+        for i, ws in enumerate(self.segments):
             at, tf = np.unique([self.vocabulary[w] for w in ws], return_counts=True)
             out[i, at] = np.sqrt(tf) * self.idf[at]
         return out
@@ -229,11 +236,14 @@ def _search(passages: DataFrame, bench_shared, basis: np.ndarray, least_cosine:
             for _, _, _, y in _projected(batch.column(3), bench.idf, latent.value):
                 cosine = (y @ item_latent.T) / np.maximum(norms[at : at + len(y), None] * item_norm[None, :], 1e-12)
                 rows, found = np.nonzero(cosine >= least_cosine)
+                closest: dict[tuple[int, int], float] = {}
+                for r, i, c in zip(rows.tolist(), bench.owner[found].tolist(), cosine[rows, found].tolist(), strict=True):
+                    closest[r, i] = max(c, closest.get((r, i), 0.0))
                 words: dict[int, list[bytes]] = {}
-                for r, i in zip(rows.tolist(), found.tolist(), strict=True):
+                for (r, i), c in closest.items():
                     if r not in words:
                         words[r] = batch.column(4)[at + r].as_py().split()
-                    row = (doc_ids[at + r], bench.ids[i], starts[at + r], float(cosine[r, i]), *bench.verify(i, words[r], least_words))
+                    row = (doc_ids[at + r], bench.ids[i], starts[at + r], c, *bench.verify(i, words[r], least_words))
                     for o, v in zip(out, row, strict=True):
                         o.append(v)
                 at += len(y)
@@ -245,7 +255,7 @@ def _search(passages: DataFrame, bench_shared, basis: np.ndarray, least_cosine:
 
 
 def contaminated(
-    docs: DataFrame, benchmark: DataFrame, passage_words: int = 32, rank: int = 256, least_cosine: float = 0.3, near: float = 0.8, paraphrase: float = 0.5, answer: float = 0.8, least_words: int = 8, items_at_once: int = 2000
+    docs: DataFrame, benchmark: DataFrame, passage_words: int = 10, rank: int = 384, least_cosine: float = 0.4, near: float = 0.8, paraphrase: float = 0.5, answer: float = 0.8, least_words: int = 8, items_at_once: int = 2000
 ) -> DataFrame:
     """Documents (doc_id, text) that hold items of ``benchmark`` (item_id, text, and answer where it has that column).
 
@@ -264,7 +274,7 @@ def contaminated(
     results = []
     for s in range(slices):
         part = rows if slices == 1 else rows.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == s)
-        bench = Benchmark([tuple(r) for r in part.orderBy("item_id", "text").collect()])
+        bench = Benchmark([tuple(r) for r in part.orderBy("item_id", "text").collect()], passage_words)
         if not bench.ids:
             continue
         bench.weigh(*_document_frequencies(docs, bench.vocabulary))

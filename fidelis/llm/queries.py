@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmlwrap, packing, simhash, substring, topk, toxicity, warc, xent
+from . import decontam, htmlwrap, packing, simhash, substring, toolcalls, topk, toxicity, warc, xent
 from .common import table
 
 
@@ -33,6 +33,11 @@ def op4_lsa_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = toolcalls.link(table(spark, sf_dir, "conversations"))
+    return linked.withColumn("problems", F.array_join("problems", ","))
+
+
 def op6_ngram_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -55,7 +60,7 @@ def op10_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame
     return xent.score(table(spark, sf_dir, "documents"), good)
 
 
-QUERIES = {f.__name__: f for f in (op1_segment_topk, op2_html_wrapper, op3_warc_zstd, op4_lsa_decontamination, op6_ngram_toxicity, op7_simhash_near_dedup, op8_best_fit_packing, op9_fm_substring_dedup, op10_cross_entropy_difference)}
+QUERIES = {f.__name__: f for f in (op1_segment_topk, op2_html_wrapper, op3_warc_zstd, op4_lsa_decontamination, op5_tool_call_linking, op6_ngram_toxicity, op7_simhash_near_dedup, op8_best_fit_packing, op9_fm_substring_dedup, op10_cross_entropy_difference)}
 ORACLE_SQL: dict[str, str] = {
     "op1_segment_topk": """
         WITH v AS (SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings),
@@ -72,4 +77,10 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN n >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to, CAST(NULL AS VARCHAR) AS error
         FROM m""",
+    # the tables hold plain messages only, so nothing is linked; tests cover tool calls by brute force
+    "op5_tool_call_linking": """
+        SELECT conv_id, turn, turn AS slot, CAST(0 AS INTEGER) AS level, role, 'message' AS kind,
+               '{"content":' || CAST(coalesce(to_json(text), 'null') AS VARCHAR) || ',"role":' || CAST(coalesce(to_json(role), 'null') AS VARCHAR) || '}' AS json,
+               CAST(0 AS INTEGER) AS n_calls, CAST(0 AS INTEGER) AS n_linked, '' AS problems
+        FROM conversations""",
 }

@@ -13,6 +13,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ def answer_words(text: str, answer: str | None = None) -> list[bytes]:
     return fold_words(parts[-1]) if parts else []
 
 
-def lcs(masks: dict[bytes, int], length: int, words: list[bytes]) -> int:
+def lcs(masks: dict, length: int, words: list) -> int:
     """Length of the longest common subsequence; ``masks``: for each word of the first sequence, its positions as bits."""
     full = (1 << length) - 1
     v = full
@@ -50,8 +51,8 @@ def lcs(masks: dict[bytes, int], length: int, words: list[bytes]) -> int:
     return length - v.bit_count()
 
 
-def position_masks(words: list[bytes]) -> dict[bytes, int]:
-    out: dict[bytes, int] = {}
+def position_masks(words: list) -> dict:
+    out: dict = {}
     for i, w in enumerate(words):
         out[w] = out.get(w, 0) | 1 << i
     return out
@@ -72,9 +73,10 @@ class Benchmark:
                 self.ids.append(item_id)
                 self.words.append(words)
                 self.answers.append(answer_words(text, answer))
-        self.vocabulary = {w: i for i, w in enumerate(sorted({w for ws in self.words for w in ws}))}
-        self.masks = [position_masks(w) for w in self.words]
-        self.answer_masks = [position_masks(w) for w in self.answers]
+        self.vocabulary = {w: i for i, w in enumerate(sorted({w for ws in [*self.words, *self.answers] for w in ws}))}
+        self.own = [[self.vocabulary[w] for w in ws] for ws in self.words]
+        self.masks = [position_masks(w) for w in self.own]
+        self.answer_masks = [position_masks([self.vocabulary.get(w, -2) for w in ws]) for ws in self.answers]
         self.longest = max(map(len, self.words), default=0)
         cuts = [(i, w[a : a + 2 * passage_words]) for i, w in enumerate(self.words) for a in range(0, max(1, len(w) - passage_words), passage_words)]
         self.owner = np.array([i for i, _ in cuts], np.int64)
@@ -91,9 +93,9 @@ class Benchmark:
             out[i, at] = np.sqrt(tf) * self.idf[at]
         return out
 
-    def verify(self, i: int, words: list[bytes], least_words: int) -> tuple[int, float, float]:
+    def verify(self, i: int, words: list[int], least_words: int) -> tuple[int, float, float]:
         """(LCS, its share of the item, share of the answer found); short items must be there word for word."""
-        own, n = self.words[i], len(self.words[i])
+        own, n = self.own[i], len(self.own[i])
         if n < least_words:
             whole = any(words[j : j + n] == own for j in range(len(words) - n + 1))
             return (n, 1.0, 1.0) if whole else (0, 0.0, 0.0)
@@ -126,74 +128,90 @@ def _document_frequencies(docs: DataFrame, vocabulary: dict[bytes, int]) -> tupl
     return df, n_docs
 
 
+REGIONS = "doc_id long, begin long, words array<int>, starts array<int>, norms array<float>"
+
+
 def _passages(docs: DataFrame, shared, size: int, least_cosine: float) -> DataFrame:
-    """(doc_id, start, norm, ids, around): the passages that can reach the threshold, with the words around them."""
+    """Regions around the passages that can reach the threshold: vocabulary ids (-1: not of the vocabulary) of the
+    words, where passages start among them, and the passages' norms. Regions of neighbouring passages are one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bench: Benchmark = shared.value
-        known, margin = bench.vocabulary, bench.longest
+        find, margin = bench.vocabulary.get, bench.longest
         weight = np.append(bench.idf**2, bench.rarest**2)
+        least = least_cosine**2 * (1 - 1e-9)
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words = fold_words(text.as_py())
                 if not words:
                     continue
-                ids = np.fromiter((known.get(w, -1) for w in words), np.int32, len(words))
-                mass = np.concatenate([[0.0], np.cumsum(weight[ids])])
-                inside = np.concatenate([[0.0], np.cumsum(np.where(ids >= 0, weight[ids], 0.0))])
+                ids = np.fromiter(map(find, words, repeat(-1)), np.int32, len(words))
+                own = weight[ids]
+                mass = np.concatenate([[0.0], np.cumsum(own)])
+                inside = np.concatenate([[0.0], np.cumsum(np.where(ids >= 0, own, 0.0))])
                 lo = np.arange(0, max(1, len(words) - size // 2), size // 2)
                 hi = np.minimum(lo + size, len(words))
                 whole = mass[hi] - mass[lo]
-                for j in np.flatnonzero(inside[hi] - inside[lo] >= least_cosine**2 * whole * (1 - 1e-9)).tolist():
-                    a, b = int(lo[j]), int(hi[j])
-                    row = (doc_id, a, float(np.sqrt(whole[j])), ids[a:b][ids[a:b] >= 0].tolist(), b" ".join(words[max(0, a - margin) : b + margin]))
+                kept = np.flatnonzero(inside[hi] - inside[lo] >= least * whole)
+                if not len(kept):
+                    continue
+                for run_ in np.split(kept, np.flatnonzero(np.diff(lo[kept]) > margin) + 1):
+                    begin = max(0, int(lo[run_[0]]) - margin)
+                    row = (doc_id, begin, ids[begin : int(hi[run_[-1]]) + margin], (lo[run_] - begin).astype(np.int32), np.sqrt(whole[run_]).astype(np.float32))
                     for o, v in zip(out, row, strict=True):
                         o.append(v)
-            types = (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int32()), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, types, strict=True)], ["doc_id", "start", "norm", "ids", "around"])
+            types = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, types, strict=True)], ["doc_id", "begin", "words", "starts", "norms"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, start long, norm double, ids array<int>, around binary")
-
-
-def _projected(ids: pa.Array, idf: np.ndarray, basis: np.ndarray, step: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(row, word, weight, projections) of passages, some at a time; weights are sqrt(tf) idf."""
-    sizes = np.diff(ids.offsets.to_numpy())
-    flat = ids.flatten().to_numpy()
-    ends = np.cumsum(sizes)
-    for lo in range(0, len(sizes), step):
-        hi = min(lo + step, len(sizes))
-        word = flat[ends[lo] - sizes[lo] : ends[hi - 1]]
-        row = np.repeat(np.arange(hi - lo), sizes[lo:hi])
-        both, tf = np.unique(row * len(idf) + word, return_counts=True)
+    return rows.mapInArrow(run, REGIONS)
+
+
+def _projected(regions: pa.Array, starts: pa.Array, size: int, idf: np.ndarray, basis: np.ndarray, step: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, word, weight, projections) of the passages in order, some at a time; weights are sqrt(tf) idf."""
+    words, ends = regions.flatten().to_numpy(), regions.offsets.to_numpy() - regions.offsets[0].as_py()
+    per_row = np.diff(starts.offsets.to_numpy())
+    first = np.repeat(ends[:-1], per_row) + starts.flatten().to_numpy()
+    last = np.minimum(first + size, np.repeat(ends[1:], per_row))
+    for lo in range(0, len(first), step):
+        at = first[lo : lo + step, None] + np.arange(size)
+        inside = at < last[lo : lo + step, None]
+        word = np.where(inside, words[np.minimum(at, len(words) - 1)], -1)
+        row, where = np.nonzero(word >= 0)
+        both, tf = np.unique(row * len(idf) + word[row, where], return_counts=True)
         row, word = both // len(idf), both % len(idf)
-        value = np.sqrt(tf) * idf[word]
-        out = np.zeros((hi - lo, basis.shape[1]))
-        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else row
+        value = (np.sqrt(tf) * idf[word]).astype(np.float32)
+        out = np.zeros((len(at), basis.shape[1]), np.float32)
         if len(row):
-            out[row[first]] = np.add.reduceat(basis[word] * value[:, None], first, axis=0)
+            heads = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+            out[row[heads]] = np.add.reduceat(basis[word] * value[:, None], heads, axis=0)
         yield row, word, value, out
 
 
-def latent_basis(passages: DataFrame, bench: Benchmark, rank: int, rounds: int = 2, seed: int = 11) -> np.ndarray:
-    """Right singular vectors (vocabulary x rank) of the passages and the anchoring items, by randomised iteration."""
-    spark = passages.sparkSession
+def latent_basis(regions: DataFrame, n_passages: int, bench: Benchmark, size: int, rank: int, rounds: int = 2, seed: int = 11) -> np.ndarray:
+    """Right singular vectors (vocabulary x rank) of the passages and the anchoring segments, by randomised iteration.
+
+    Each task adds up its share of A'(A Q); there are about twice as many tasks as the cluster has cores, so that
+    what is summed follows the cluster and not the data.
+    """
+    spark = regions.sparkSession
     items = bench.matrix()
     width = min(rank + 16, len(bench.vocabulary))
-    anchor = 1.0 + passages.count() / max(1, len(items))
+    anchor = 1.0 + n_passages / max(1, len(items))
     q = np.linalg.qr(np.random.default_rng(seed).normal(size=(len(bench.vocabulary), width)))[0]
     n_blocks = 16
     edges = np.linspace(0, len(bench.vocabulary), n_blocks + 1).astype(int)
     idf = bench.idf
+    shares = regions.select("words", "starts").coalesce(2 * spark.sparkContext.defaultParallelism)
 
     def times(basis: np.ndarray) -> np.ndarray:
-        shared = spark.sparkContext.broadcast(basis)
+        shared = spark.sparkContext.broadcast(basis.astype(np.float32))
 
         def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(shared.value.shape)
+            total = np.zeros(shared.value.shape, np.float32)
             for batch in batches:
-                for row, word, value, y in _projected(batch.column(0), idf, shared.value):
+                for row, word, value, y in _projected(batch.column(0), batch.column(1), size, idf, shared.value):
                     order = np.argsort(word, kind="stable")
                     w = word[order]
                     if len(w):
@@ -203,11 +221,12 @@ def latent_basis(passages: DataFrame, bench: Benchmark, rank: int, rounds: int =
             yield pa.RecordBatch.from_arrays([pa.array(range(n_blocks), pa.int32()), pa.array(parts, pa.binary())], ["block", "part"])
 
         def add(t: pa.Table) -> pa.Table:
-            total = sum(np.frombuffer(p.as_py()) for p in t.column("part"))
-            return pa.table([t.column("block").slice(0, 1), pa.array([total.tobytes()], pa.binary())], ["block", "part"])
+            total = sum(np.frombuffer(p.as_py(), np.float32).astype(float) for p in t.column("part"))
+            return pa.table([t.column("block").slice(0, 1), pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["block", "part"])
 
         schema = "block int, part binary"
-        blocks = {r.block: np.frombuffer(r.part) for r in passages.select("ids").mapInArrow(partial, schema).groupBy("block").applyInArrow(add, schema).collect()}  # vocabulary x width numbers
+        summed = shares.mapInArrow(partial, schema).repartition(n_blocks, "block").groupBy("block").applyInArrow(add, schema)
+        blocks = {r.block: np.frombuffer(r.part, np.float32) for r in summed.collect()}  # vocabulary x width numbers
         out = anchor * (items.T @ (items @ basis))
         for b, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
             if b in blocks:
@@ -221,29 +240,30 @@ def latent_basis(passages: DataFrame, bench: Benchmark, rank: int, rounds: int =
     return q @ vectors[:, np.argsort(-values)[:rank]]
 
 
-def _search(passages: DataFrame, bench_shared, basis: np.ndarray, least_cosine: float, least_words: int) -> DataFrame:
-    latent = passages.sparkSession.sparkContext.broadcast(basis)
+def _search(regions: DataFrame, bench_shared, basis: np.ndarray, size: int, least_cosine: float, least_words: int) -> DataFrame:
+    latent = regions.sparkSession.sparkContext.broadcast(basis.astype(np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bench: Benchmark = bench_shared.value
-        items = bench.matrix()
-        item_norm = np.linalg.norm(items, axis=1)
-        item_latent = items @ latent.value
+        segments = bench.matrix()
+        norm = np.linalg.norm(segments, axis=1).astype(np.float32)
+        segment_latent = (segments @ latent.value).astype(np.float32)
         for batch in batches:
             out: list[list] = [[] for _ in range(7)]
-            doc_ids, starts, norms = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_numpy()
+            doc_ids, begins, starts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3)
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(starts.offsets.to_numpy())).tolist()
+            place, norms = starts.flatten().to_pylist(), batch.column(4).flatten().to_numpy()
             at = 0
-            for _, _, _, y in _projected(batch.column(3), bench.idf, latent.value):
-                cosine = (y @ item_latent.T) / np.maximum(norms[at : at + len(y), None] * item_norm[None, :], 1e-12)
+            for _, _, _, y in _projected(batch.column(2), starts, size, bench.idf, latent.value):
+                cosine = (y @ segment_latent.T) / np.maximum(norms[at : at + len(y), None] * norm[None, :], 1e-12)
                 rows, found = np.nonzero(cosine >= least_cosine)
                 closest: dict[tuple[int, int], float] = {}
                 for r, i, c in zip(rows.tolist(), bench.owner[found].tolist(), cosine[rows, found].tolist(), strict=True):
                     closest[r, i] = max(c, closest.get((r, i), 0.0))
-                words: dict[int, list[bytes]] = {}
                 for (r, i), c in closest.items():
-                    if r not in words:
-                        words[r] = batch.column(4)[at + r].as_py().split()
-                    row = (doc_ids[at + r], bench.ids[i], starts[at + r], c, *bench.verify(i, words[r], least_words))
+                    n, s = owner[at + r], place[at + r]
+                    around = batch.column(2)[n].values[max(0, s - bench.longest) : s + size + bench.longest].to_pylist()
+                    row = (doc_ids[n], bench.ids[i], begins[n] + s, c, *bench.verify(i, around, least_words))
                     for o, v in zip(out, row, strict=True):
                         o.append(v)
                 at += len(y)
@@ -251,7 +271,7 @@ def _search(passages: DataFrame, bench_shared, basis: np.ndarray, least_cosine:
             names = ["doc_id", "item_id", "start", "cosine", "lcs", "lcs_ratio", "answer_ratio"]
             yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, types, strict=True)], names)
 
-    return passages.select("doc_id", "start", "norm", "ids", "around").mapInArrow(run, FOUND)
+    return regions.select("doc_id", "begin", "words", "starts", "norms").mapInArrow(run, FOUND)
 
 
 def contaminated(
@@ -280,8 +300,9 @@ def contaminated(
         bench.weigh(*_document_frequencies(docs, bench.vocabulary))
         shared = spark.sparkContext.broadcast(bench)
         passages = persist_table(_passages(docs, shared, passage_words, least_cosine), "passages")
-        basis = latent_basis(passages, bench, min(rank, len(bench.vocabulary)))
-        best = _search(passages, shared, basis, least_cosine, least_words)
+        n_passages = passages.agg(F.coalesce(F.sum(F.size("starts")), F.lit(0))).first()[0]
+        basis = latent_basis(passages, n_passages, bench, passage_words, min(rank, len(bench.vocabulary)))
+        best = _search(passages, shared, basis, passage_words, least_cosine, least_words)
         verified = best.where((F.col("lcs_ratio") >= near) | (F.col("lcs_ratio") >= paraphrase) & (F.col("answer_ratio") >= answer))
         top = F.max(F.struct("lcs", "answer_ratio", "cosine", (-F.col("start")).alias("back"), "lcs_ratio")).alias("b")
         merged = verified.groupBy("doc_id", "item_id").agg(top)

@@ -228,3 +228,16 @@ def near_duplicate_groups(docs: DataFrame, words_in: int = 3, radius: int = 3) -
     groups = connected_components(links(named, radius))
     by_print = named.join(groups, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return prints.join(by_print, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, words_in: int = 3, radius: int = 3) -> DataFrame:
+    """The rows of ``docs`` (all their columns), one of each group: that with the smallest doc_id.
+
+    Of rows repeating that doc_id one stays; a group without any doc_id keeps all its rows.
+    """
+    kept = near_duplicate_groups(docs, words_in, radius).where("doc_id is not null and doc_id = component_id").groupBy("doc_id").count()
+    kept = persist_table(kept, "kept")
+    named = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
+    if kept.where("count > 1").limit(1).count():  # repeated ids only: one row of each
+        named = named.dropDuplicates(["doc_id"])
+    return named.select(docs.columns).union(docs.where("doc_id is null"))

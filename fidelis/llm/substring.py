@@ -87,14 +87,14 @@ def stretches(words: list[bytes], window: int, gram: int) -> tuple[np.ndarray, n
     return grams[at[first]], rolling.ranges(first, first + count - 1 + window), first, count
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """(doc_id, uid, text): uid orders documents by doc_id; equal to it where ids are neither null nor repeated."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+def _numbered(docs: DataFrame, others: list[str]) -> DataFrame:
+    """(doc_id, uid, text, others): uid orders documents by doc_id; equal to it where ids are neither null nor repeated."""
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *others)
     ids = d.select("doc_id").groupBy("doc_id").count()
     if ids.where("doc_id is null or count > 1").limit(1).count() == 0:
-        return d.select("doc_id", F.col("doc_id").alias("uid"), "text")
-    one = d.distinct().sort(F.col("doc_id").asc_nulls_last(), "text").select("doc_id", "text", F.monotonically_increasing_id().alias("uid"))
-    return persist_table(one.select("doc_id", "uid", "text"), "numbered")
+        return d.select("doc_id", F.col("doc_id").alias("uid"), "text", *others)
+    one = d.dropDuplicates(["doc_id", "text"]).sort(F.col("doc_id").asc_nulls_last(), "text").select("*", F.monotonically_increasing_id().alias("uid"))
+    return persist_table(one.select("doc_id", "uid", "text", *others), "numbered")
 
 
 def _first_pass(docs: DataFrame, window: int, gram: int) -> DataFrame:
@@ -243,25 +243,28 @@ def _kept(words: list[bytes], marks: list[dict] | None, window: int) -> np.ndarr
     return np.cumsum(cover[:-1]) == 0
 
 
-def marked_documents(docs: DataFrame, window: int = 20, gram: int = 5) -> DataFrame:
-    """(doc_id, packed, marks): every document with its Zstandard-packed text and its repeated windows."""
-    numbered = _numbered(docs)
+def marked_documents(docs: DataFrame, window: int = 20, gram: int = 5, others: list[str] | None = None) -> DataFrame:
+    """(doc_id, packed, marks): every document with its Zstandard-packed text, its repeated windows and ``others``."""
+    others = others or []
+    numbered = _numbered(docs, others)
+    types = ", ".join(["doc_id long", "uid long", "packed binary", *(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in others)])
+    carried = numbered.select("doc_id", "uid", "text", *[f.name for f in docs.schema.fields if f.name in others])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             packed = pa.array([squeeze.compress(t.as_py() or b"") for t in batch.column(2)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed], ["doc_id", "uid", "packed"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed, *batch.columns[3:]], ["doc_id", "uid", "packed", *batch.schema.names[3:]])
 
-    packed = numbered.mapInArrow(pack, "doc_id long, uid long, packed binary")
+    packed = carried.mapInArrow(pack, types)
     found = persist_table(_by_minimizer(_first_pass(numbered, window, gram)), "stretches")
-    texts = _texts(packed, found.where(F.col("kind") != MARK), window)
+    texts = _texts(packed.select("uid", "packed"), found.where(F.col("kind") != MARK), window)
     hits = persist_table(_search(texts, window), "windows")
     marks = found.where(F.col("kind") == MARK).select("uid", "first", F.col("count").cast("int").alias("count")).union(hits)
     by_doc = persist_table(marks.groupBy("uid").agg(F.collect_list(F.struct("first", "count")).alias("marks")), "marks")
     drop_table(found)
     drop_table(hits)
-    return packed.join(by_doc, "uid", "left").select("doc_id", "uid", "packed", "marks")
+    return packed.join(by_doc, "uid", "left").select("doc_id", "uid", "packed", "marks", *others)
 
 
 def deduplicate(docs: DataFrame, window: int = 20, gram: int = 5, keep_text: bool = False) -> DataFrame:
@@ -297,3 +300,34 @@ def deduplicate(docs: DataFrame, window: int = 20, gram: int = 5, keep_text: boo
 
     done = marked_documents(docs, window, gram).select("doc_id", "packed", "marks").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, text binary")
     return done.withColumn("text", F.col("text").cast("string")) if keep_text else done.drop("text")
+
+
+def without_repeats(docs: DataFrame, window: int = 20, gram: int = 5) -> DataFrame:
+    """``docs`` with the columns of documents, its texts without repeated windows, ``n_chars`` counted anew.
+
+    Rows of null or repeated doc_ids are treated as in :func:`deduplicate`. A text of which nothing is left is
+    empty; the row stays.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2000):
+                part = batch.slice(lo, 2000)
+                texts = []
+                for text, marks in zip(part.column(1), part.column(2).to_pylist(), strict=True):
+                    raw = unpack.decompress(text.as_py())
+                    if marks:
+                        words = raw.split()
+                        raw = b" ".join([words[i] for i in np.flatnonzero(_kept(words, marks, window)).tolist()])
+                    texts.append(raw)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.binary()), *part.columns[3:]], ["doc_id", "text", *names])
+
+    names = [c for c in docs.columns if c not in ("doc_id", "text")]
+    fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    marked = marked_documents(docs, window, gram, names).select("doc_id", "packed", "marks", *names)
+    done = marked.mapInArrow(run, ", ".join(["doc_id long", "text binary", *(f"`{c}` {fields[c]}" for c in names)]))
+    done = done.withColumn("text", F.col("text").cast("string"))
+    if "n_chars" in names:
+        done = done.withColumn("n_chars", F.char_length("text").cast(fields["n_chars"]))
+    return done.select(docs.columns)

@@ -187,3 +187,18 @@ def score(docs: DataFrame, model: Model, folds: int = 5) -> DataFrame:
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == 0, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def reject(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` (all their columns) whose text scores under 0.5; null and empty texts are scored too."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.keys, model.weights, model.bias))
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(*shared.value)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                yield part.filter(pa.array(own.score(part.column(place).to_pylist()) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -122,6 +122,8 @@ def _unsqueeze(data: bytes, n: int, *types: str) -> list[np.ndarray]:
     return out
 
 
+#: Tokens after which a chunk of documents is closed.
+CHUNK_TOKENS = 1_500_000
 CHUNKS = "chunk long, doc_ids array<long>, grps array<int>, sizes array<int>, ids binary"
 
 
@@ -131,14 +133,18 @@ def _encoded(docs: DataFrame, shared) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, n = shared.value, 0
         for batch in batches:
-            ids = [np.append(vocabulary.encode(_words(t.as_py())), np.int32(END)) for t in batch.column(1)]
-            if not ids:
-                continue
-            sizes = [len(i) for i in ids]
-            chunk = TaskContext.get().partitionId() << 32 | n
-            n += 1
-            cols = [pa.array([chunk]), pa.array([batch.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([batch.column(2).to_pylist()], pa.list_(pa.int32())), pa.array([sizes], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([_squeeze(np.concatenate(ids))], pa.binary())], ["chunk", "doc_ids", "grps", "sizes", "ids"])
+            ids: list[np.ndarray] = []
+            held = first = 0
+            for i, text in enumerate(batch.column(1)):
+                ids.append(np.append(vocabulary.encode(_words(text.as_py())), np.int32(END)))
+                held += len(ids[-1])
+                if held < CHUNK_TOKENS and i + 1 < batch.num_rows:
+                    continue
+                own = batch.slice(first, len(ids))
+                chunk = TaskContext.get().partitionId() << 32 | n
+                cols = [pa.array([chunk]), pa.array([own.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([own.column(2).to_pylist()], pa.list_(pa.int32())), pa.array([[len(x) for x in ids]], pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([_squeeze(np.concatenate(ids))], pa.binary())], ["chunk", "doc_ids", "grps", "sizes", "ids"])
+                ids, held, first, n = [], 0, i + 1, n + 1
 
     return docs.mapInArrow(run, CHUNKS)
 

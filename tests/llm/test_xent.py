@@ -40,7 +40,8 @@ def brute(rows, folds, target, size, mu):
 
 
 @pytest.mark.parametrize("size", [1000, 40])
-def test_against_brute_force(spark, size):
+def test_against_brute_force(spark, monkeypatch, size):
+    monkeypatch.setattr(xent, "CHUNK_TOKENS", 300)
     rng = np.random.default_rng(7)
     words = [f"w{i}" for i in range(80)]
     weights = 1 / np.arange(1, 81)

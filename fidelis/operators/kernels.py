@@ -17,6 +17,8 @@ from .pixels import Frame, Pixels
 BINS = 4096
 LSB = (1, 2, 4, 8)
 PERCENTILES = (("p50", 0.50), ("p90", 0.90), ("p95", 0.95), ("p99", 0.99))
+#: Pixels of a band.
+BAND_PIXELS = 1 << 15
 # SSIM constants and multi-scale weights.
 C1, C2 = 0.01**2, 0.03**2
 MS_WEIGHTS = (0.0448, 0.2856, 0.3001, 0.2363, 0.1333)
@@ -28,8 +30,10 @@ def guard(a: Pixels, b: Pixels) -> None:
 
 
 def histogram(absolute: np.ndarray) -> np.ndarray:
-    over = ~np.isfinite(absolute) | (absolute >= 1.0)
-    return np.bincount(np.where(over, BINS, np.floor(np.where(over, 0.0, absolute) * BINS + 0.5)).astype(int).ravel(), minlength=BINS + 1)
+    scaled = absolute * BINS + 0.5
+    if not scaled.max(initial=0.0) < BINS + 1:  # also where anything is NaN
+        scaled = np.where(np.isfinite(absolute) & (absolute < 1.0), scaled, float(BINS))
+    return np.bincount(scaled.astype(np.int32).ravel(), minlength=BINS + 1)
 
 
 def histogram_percentile(counts: np.ndarray, n: int, largest: float, p: float) -> float:
@@ -53,8 +57,8 @@ class Partial:
 
     @classmethod
     def of(cls, delta: np.ndarray) -> Partial:
-        a = np.abs(delta)
-        return cls(delta.size, float((delta * delta).sum()), float(a.sum()), float(delta.sum()), float(a.max(initial=0.0)), histogram(a))
+        a, flat = np.abs(delta), delta.ravel()
+        return cls(delta.size, float(flat @ flat), float(a.sum()), float(delta.sum()), float(a.max(initial=0.0)), histogram(a))
 
     def __add__(self, o: Partial) -> Partial:
         return Partial(self.count + o.count, self.squares + o.squares, self.absolute + o.absolute, self.signed + o.signed, max(self.largest, o.largest), self.bins + o.bins)
@@ -127,16 +131,23 @@ def _stats(delta: np.ndarray, labels: tuple[str, ...], coords: tuple[np.ndarray,
     if not delta.size:
         raise UnsupportedInput("zero comparable samples")
     a = np.abs(delta)
-    top = a.max(axis=1)
+    single = delta.shape[1] == 1
+    top = a[:, 0] if single else a.max(axis=1)
     total = Partial.of(delta)
+    channels = [total] if single else [Partial.of(delta[:, c]) for c in range(delta.shape[1])]
     place = None
     if coords is not None and total.largest > 0:
         n, c = np.unravel_index(int(a.argmax()), a.shape)
         place = (int(coords[0][n]), int(coords[1][n]), int(c))
-    return ErrorStats(
-        total, [Partial.of(delta[:, c]) for c in range(delta.shape[1])], labels, len(delta), len(delta), int((a != 0).sum()), tuple(int((a * 255.0 > k).sum()) for k in LSB),
-        int((top != 0).sum()), tuple(int((top * 255.0 > k).sum()) for k in LSB), float(np.sqrt((delta * delta).sum(axis=1)).max()), place,
-    )
+    codes = a * 255.0
+    changed, beyond = np.count_nonzero(a), tuple(int(np.count_nonzero(codes > k)) for k in LSB)
+    if single:
+        changed_pixels, pixels_beyond, norm = changed, beyond, total.largest
+    else:
+        codes = top * 255.0
+        changed_pixels, pixels_beyond = np.count_nonzero(top), tuple(int(np.count_nonzero(codes > k)) for k in LSB)
+        norm = float(np.sqrt(np.einsum("ij,ij->i", delta, delta).max()))
+    return ErrorStats(total, channels, labels, len(delta), len(delta), int(changed), beyond, int(changed_pixels), pixels_beyond, norm, place)
 
 
 def stored_labels(a: Pixels, b: Pixels) -> tuple[str, ...]:
@@ -184,7 +195,21 @@ def wrap_hue(delta: np.ndarray) -> np.ndarray:
 
 
 def error_stats(a: Pixels, b: Pixels, domain: Domain) -> ErrorStats:
+    """Statistics of a domain; packed frames are taken in bands of rows that stay in the processor's cache."""
     guard(a, b)
+    step = max(1, BAND_PIXELS // a.width)
+    if domain.kind in ("luma", "color", "all") and a.format.bytes_per_pixel and b.format.bytes_per_pixel and a.height > step:
+        total = None
+        for y in range(0, a.height, step):
+            part = _error_stats(a.rows(y, min(y + step, a.height)), b.rows(y, min(y + step, a.height)), domain)
+            if part.place is not None:
+                part.place = (part.place[0], part.place[1] + y, part.place[2])
+            total = part if total is None else total + part
+        return total
+    return _error_stats(a, b, domain)
+
+
+def _error_stats(a: Pixels, b: Pixels, domain: Domain) -> ErrorStats:
     whole = lambda d: _stats(d.reshape(-1, d.shape[-1]), labels, _grid(a.width, a.height))
     if domain.kind == "luma":
         labels: tuple[str, ...] = ("luma",)
@@ -261,11 +286,12 @@ def _ssim_of(mx: Any, my: Any, vx: Any, vy: Any, cxy: Any, c1: float, c2: float)
 
 def global_ssim(a: Pixels, b: Pixels, c1: float = C1, c2: float = C2) -> Row:
     guard(a, b)
-    x, y = a.luma().ravel(), b.luma().ravel()
+    x, y = (p.luma().reshape(-1).copy() if p.format.is_yuv else p.luma().reshape(-1) for p in (a, b))
     n, mx, my = x.size, x.mean(), y.mean()
-    dx, dy = x - mx, y - my
+    x -= mx
+    y -= my
     d = max(n - 1, 1)
-    vx, vy, cxy = (dx * dx).sum() / d, (dy * dy).sum() / d, (dx * dy).sum() / d
+    vx, vy, cxy = x @ x / d, y @ y / d, x @ y / d
     score, cs = _ssim_of(mx, my, vx, vy, cxy, c1, c2)
     details = {"contrast_structure": cs, "mean_reference": mx, "mean_distorted": my, "variance_reference": vx, "variance_distorted": vy, "covariance": cxy, "samples": n}
     return row("ssim", score, *UNITS["ssim"], details)

@@ -11,6 +11,8 @@ from ..functions.errors import InvalidFrame, UnsupportedInput
 from ..functions.formats import PixelFormat, pixel_format
 
 Frame = dict[str, Any]
+#: 8-bit codes as samples.
+_UNIT = np.arange(256) / 255.0
 
 
 class Pixels:
@@ -35,12 +37,21 @@ class Pixels:
             raise InvalidFrame(f"plane {index} is shorter than its rows")
         return np.lib.stride_tricks.as_strided(raw, (rows, row), (stride, 1), writeable=False)
 
+    def rows(self, begin: int, end: int) -> Pixels:
+        """The rows of a packed frame as a frame of their own, without copying."""
+        part = object.__new__(Pixels)
+        part.width, part.height, part.format, part.space = self.width, end - begin, self.format, self.space
+        part.planes = [self.planes[0][begin:end]]
+        return part
+
     def stored(self) -> np.ndarray:
         """Stored channels of a packed format, divided by the largest code."""
         f, plane = self.format, self.planes[0]
         if f.is_binary or f.is_yuv:
             raise UnsupportedInput("stored channels need a packed format")
-        kind = {1: np.dtype("u1"), 2: np.dtype("<u2"), 4: np.dtype("=f4")}[f.bytes_per_pixel // f.channels]
+        if f.bytes_per_pixel == f.channels:
+            return _UNIT[plane.reshape(self.height, self.width, f.channels)]
+        kind = {2: np.dtype("<u2"), 4: np.dtype("=f4")}[f.bytes_per_pixel // f.channels]
         samples = np.ascontiguousarray(plane).view(kind).reshape(self.height, self.width, f.channels)
         return samples.astype(float) / f.max_code
 
@@ -81,7 +92,12 @@ class Pixels:
             return self.planes[0].astype(float) / 255.0
         if f.channels == 1:
             return self.stored()[..., 0]
-        rgb, (kr, kg, kb) = self.rgb(), LUMA_WEIGHTS.get(self.space, LUMA_DEFAULT)
+        kr, kg, kb = LUMA_WEIGHTS.get(self.space, LUMA_DEFAULT)
+        if f.name in ("rgb8", "rgba8", "bgr8", "bgra8"):  # one table per channel instead of arithmetic
+            codes = self.planes[0].reshape(self.height, self.width, f.channels)
+            r, b = (2, 0) if f.name.startswith("bgr") else (0, 2)
+            return (_UNIT * kr)[codes[..., r]] + (_UNIT * kg)[codes[..., 1]] + (_UNIT * kb)[codes[..., b]]
+        rgb = self.rgb()
         return rgb[..., 0] * kr + rgb[..., 1] * kg + rgb[..., 2] * kb
 
     def alpha(self) -> np.ndarray:

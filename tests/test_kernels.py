@@ -192,3 +192,14 @@ def test_hsv_round_trip():
 
     rgb = np.random.default_rng(2).random((50, 3))
     assert np.allclose(hsv_to_rgb(rgb_to_hsv(rgb)), rgb)
+
+
+def test_bands_equal_whole(monkeypatch):
+    rng = np.random.default_rng(9)
+    a, b = (frames.from_array(rng.integers(0, 256, (37, 21, 4), dtype=np.uint8)) for _ in range(2))
+    for spec in ("mse", "mae:color", "maxae:all"):
+        monkeypatch.setattr(kernels, "BAND_PIXELS", 1 << 20)
+        whole = details(a, b, spec)
+        monkeypatch.setattr(kernels, "BAND_PIXELS", 100)
+        assert details(a, b, spec) == pytest.approx(whole, rel=1e-12)
+    assert kernels.histogram(np.array([0.0, 0.5, 1.0, 3.0, np.nan, np.inf])).nonzero()[0].tolist() == [0, 2048, 4096]

@@ -1,7 +1,7 @@
 """Cross-entropy difference: how much more a document resembles a target corpus than the background.
 
 Two word bigram models with the same vocabulary, order and smoothing are counted over all documents, one over
-the target's, one over the others'. Documents fall into two folds, and each is scored by the counts of the other
+the target's, one over the others'. Documents fall into two folds (even and odd doc_id), and each is scored by the counts of the other
 fold, so that no document judges itself. With Dirichlet smoothing towards smoothed unigrams,
 
     p(w | h) = (c(h w) + mu p(w)) / (c(h) + mu),     p(w) = (c(w) + 1) / (N + V).
@@ -171,7 +171,7 @@ def score(docs: DataFrame, target: DataFrame, vocabulary: int = 1 << 18, head: i
     few = ids.count() <= broadcast_rows  # its size is checked; beyond that documents are shuffled by id
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     own = own.join(F.broadcast(ids) if few else ids, "doc_id", "left")
-    fold = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(2)).cast("int")
+    fold = F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(2)).cast("int")
     own = own.select("doc_id", "text", (fold * 2 + F.coalesce("hit", F.lit(0))).alias("grp"))
     known = _train_vocabulary(own, vocabulary)
     shared = spark.sparkContext.broadcast(known)  # at most `vocabulary` words

@@ -98,11 +98,23 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def _document_counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    parts: list[tuple[np.ndarray, np.ndarray]] = []
+def _bucket(keys: np.ndarray) -> np.ndarray:
+    return ((keys * _M) >> np.uint64(64 - 22)).astype(np.int64)
+
+
+def _parts(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct n-grams of some texts at a time, and in how many of those they are."""
     for lo in range(0, len(texts), 200):
         own = [np.unique(np.concatenate([np.empty(0, np.uint64), *_grams(_points(t))])) for t in texts[lo : lo + 200]]
-        parts.append(np.unique(np.concatenate(own), return_counts=True))
+        yield np.unique(np.concatenate(own), return_counts=True)
+
+
+def _document_counts(texts: list[str | None], often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Document counts of the n-grams whose bucket holds more than one document."""
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    for keys, n in _parts(texts):
+        keep = often[_bucket(keys)]
+        parts.append((keys[keep], n[keep]))
         if len(parts) >= 8:
             parts = [_merge(parts)]
     return _merge(parts) if parts else (np.empty(0, np.uint64), np.empty(0, np.int64))
@@ -123,7 +135,10 @@ def fit(texts: list[str | None], toxic: list[int], prior: float | None = None, m
     if not 0 < share < 1:
         return Model(np.empty(0, np.uint64), np.empty(0), 500.0 if share else -500.0)
     prior = share if prior is None else prior
-    pos, neg = (_document_counts([t for t, v in zip(texts, toxic, strict=True) if v == c]) for c in (1, 0))
+    buckets = np.zeros(1 << 22, np.int32)  # n-grams of a single document are most, and can't be significant
+    for held, n in _parts(texts):
+        np.add.at(buckets, _bucket(held), n.astype(np.int32))
+    pos, neg = (_document_counts([t for t, v in zip(texts, toxic, strict=True) if v == c], buckets > 1) for c in (1, 0))
     keys = np.union1d(pos[0], neg[0])
     p, q = np.zeros(len(keys)), np.zeros(len(keys))
     p[np.searchsorted(keys, pos[0])], q[np.searchsorted(keys, neg[0])] = pos[1], neg[1]

@@ -189,7 +189,7 @@ def _projected(regions: pa.Array, starts: pa.Array, size: int, idf: np.ndarray,
         yield row, word, value, out
 
 
-def latent_basis(regions: DataFrame, n_passages: int, bench: Benchmark, size: int, rank: int, rounds: int = 2, seed: int = 11) -> np.ndarray:
+def latent_basis(regions: DataFrame, n_passages: int, bench: Benchmark, size: int, rank: int, rounds: int = 1, seed: int = 11) -> np.ndarray:
     """Right singular vectors (vocabulary x rank) of the passages and the anchoring segments, by randomised iteration.
 
     Each task adds up its share of A'(A Q); there are about twice as many tasks as the cluster has cores, so that

@@ -145,3 +145,10 @@ def image_gate(rows: DataFrame, keys: list[str], fail_under: float | None = None
     delta = F.try_element_at(F.col("m.details"), F.lit("max_channel_delta_code"))
     high = F.coalesce(delta > max_delta_code, F.lit(True)) if max_delta_code is not None else F.lit(False)
     return first.select(*keys, F.col("m.name").alias("name"), F.col("m.score").alias("score"), delta.alias("max_channel_delta_code"), (~low & ~high).alias("passed"))
+
+
+def report(rows: DataFrame, checks: DataFrame, keys: list[str]) -> DataFrame:
+    """One gate report per candidate: passed, its metrics and its checks in order."""
+    m = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "name", "score", "unit", "direction"))).alias("metrics"))
+    c = checks.groupBy(*keys).agg(F.bool_and("passed").alias("passed"), F.array_sort(F.collect_list(F.struct("rule_index", "metric", "operator", "score", "threshold", "passed", "message"))).alias("checks"))
+    return m.join(c, keys, "left").withColumn("passed", F.coalesce("passed", F.lit(True)))

@@ -11,11 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.errors import UnsupportedInput
+from .ranking import global_rank
 
 #: Quantiles at which two clocks are compared, at most.
 QUANTILES = 129
 DEFAULT_MAX_DELTA = 1.0 / 60.0
-#: The fewest frames of a timeline that get time slices of their own.
+#: Seconds of the shortest time slice.
 _SLICE = 1.0
 
 
@@ -60,16 +61,12 @@ def estimate_transform(reference: DataFrame, distorted: DataFrame, by: list[str]
     One frame on a side gives an offset only; a side without any finite time gives no row.
     """
 
-    def side(df: DataFrame, name: str) -> DataFrame:
-        return df.where(finite(F.col("pts_seconds"))).groupBy(*by).agg(F.collect_list("pts_seconds").alias(name), F.count("*").alias(f"n_{name}"))
-
     def quantiles(df: DataFrame, name: str, n: DataFrame) -> DataFrame:
         values = df.where(finite(F.col("pts_seconds"))).join(n, by) if by else df.where(finite(F.col("pts_seconds"))).crossJoin(F.broadcast(n))
         # exact linear quantiles by rank: position q (n - 1) between its two neighbours
-        w = Window.partitionBy(*by).orderBy("pts_seconds") if by else Window.orderBy("pts_seconds")
-        rows = values.select(*by, "k", F.col(f"n_{name}").alias("n"), "pts_seconds", (F.row_number().over(w) - 1).alias("i"))
+        rows = global_rank(values.select(*by, "k", F.col(f"n_{name}").alias("n"), "pts_seconds"), by, ["pts_seconds"], "i")
         at = F.explode(F.sequence(F.lit(0), F.greatest(F.col("k") - 1, F.lit(0)))).alias("q")
-        wanted = rows.select(*by, "k", "n").distinct().select(*by, "k", "n", at).withColumn("pos", F.col("q") / F.greatest(F.col("k") - 1, F.lit(1)) * (F.col("n") - 1))
+        wanted = n.select(*by, "k", F.col(f"n_{name}").alias("n"), at).withColumn("pos", F.col("q") / F.greatest(F.col("k") - 1, F.lit(1)) * (F.col("n") - 1))
         low, high = rows.select(*by, F.col("i").alias("lo"), F.col("pts_seconds").alias("a")), rows.select(*by, F.col("i").alias("hi"), F.col("pts_seconds").alias("b"))
         placed = wanted.withColumn("lo", F.floor("pos").cast("int")).withColumn("hi", F.ceil("pos").cast("int"))
         t = F.col("pos") - F.col("lo")

@@ -219,3 +219,12 @@ def pack_tags(count: int, specs: list[str]) -> list[list[str]]:
 def frame_column() -> Column:
     """The frame of a record row as one struct."""
     return F.struct("width", "height", "format", "planes")
+
+
+def compare_records(data: bytes, reference: int | str, distorted: int | str, metrics: object = None) -> list[dict[str, Any]]:
+    """Metric rows of two records of one bundle, each given by index or tag."""
+    from ..functions.spec import parse_specs
+    from ..operators.kernels import compare
+
+    at = [find_tag(data, k) if isinstance(k, str) else k for k in (reference, distorted)]
+    return compare(decode_record(data, at[0]), decode_record(data, at[1]), parse_specs(metrics))  # type: ignore[arg-type]

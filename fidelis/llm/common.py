@@ -16,15 +16,21 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``; set here only where unset (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="fidelis-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+_WRITTEN: set[str] = set()
+
+
 def persist_table(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back, which cuts the lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.add(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._fidelis_path = path
@@ -35,9 +41,19 @@ def drop_table(df: DataFrame) -> None:
     """Delete a table made by :func:`persist_table` once nothing reads it any more."""
     path = getattr(df, "_fidelis_path", None)
     if path:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _WRITTEN.discard(path)
+
+
+def clean_shared(spark: SparkSession) -> None:
+    """Delete all tables that this process has written into the shared folder; results not yet stored are lost."""
+    for path in list(_WRITTEN):
+        _delete(spark, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

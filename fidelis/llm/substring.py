@@ -323,11 +323,13 @@ def without_repeats(docs: DataFrame, window: int = 20, gram: int = 5) -> DataFra
                     texts.append(raw)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.binary()), *part.columns[3:]], ["doc_id", "text", *names])
 
-    names = [c for c in docs.columns if c not in ("doc_id", "text")]
+    own = [c for c in docs.columns if c not in ("doc_id", "text")]
+    names = [f"__{i}" for i in range(len(own))]  # whatever the columns are called, they meet no name of ours
+    renamed = docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(n) for c, n in zip(own, names, strict=True)))
     fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    marked = marked_documents(docs, window, gram, names).select("doc_id", "packed", "marks", *names)
-    done = marked.mapInArrow(run, ", ".join(["doc_id long", "text binary", *(f"`{c}` {fields[c]}" for c in names)]))
-    done = done.withColumn("text", F.col("text").cast("string"))
-    if "n_chars" in names:
+    marked = marked_documents(renamed, window, gram, names).select("doc_id", "packed", "marks", *names)
+    done = marked.mapInArrow(run, ", ".join(["doc_id long", "text binary", *(f"{n} {fields[c]}" for c, n in zip(own, names, strict=True))]))
+    done = done.select("doc_id", F.col("text").cast("string").alias("text"), *(F.col(n).alias(c) for c, n in zip(own, names, strict=True)))
+    if "n_chars" in own:
         done = done.withColumn("n_chars", F.char_length("text").cast(fields["n_chars"]))
     return done.select(docs.columns)

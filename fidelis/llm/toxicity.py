@@ -66,7 +66,7 @@ class Model:
 
     def present(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(text index, feature) of the distinct features of each text."""
-        docs, feats = [], []
+        found: list[np.ndarray] = []
         group: list[np.ndarray] = []
         first = held = 0
 
@@ -75,10 +75,12 @@ class Model:
                 return
             gap = np.full(SIZES[-1], 0x110000, np.uint32)  # no n-gram over a text's end is a feature
             owner = np.repeat(np.arange(first, end), [len(g) + len(gap) for g in group])
+            hits = []
             for grams in _grams(np.concatenate([x for g in group for x in (g, gap)])):
                 at, which = self._find(grams)
-                docs.append(owner[at])
-                feats.append(which)
+                hits.append(owner[at] * len(self.keys) + which)
+            if hits:
+                found.append(np.unique(np.concatenate(hits)))
 
         for i, text in enumerate(texts):
             group.append(_points(text))
@@ -87,34 +89,22 @@ class Model:
                 flush(i + 1)
                 group, first, held = [], i + 1, 0
         flush(len(texts))
-        if not docs:
+        if not found:
             return np.empty(0, np.int64), np.empty(0, np.int64)
-        both = np.unique(np.concatenate(docs) * len(self.keys) + np.concatenate(feats))
+        both = np.concatenate(found)
         return both // len(self.keys), both % len(self.keys)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         docs, feats = self.present(texts)
         z = self.bias + np.bincount(docs, self.weights[feats] if len(feats) else None, minlength=len(texts))
-        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+        return np.where(np.isneginf(z), 0.0, 1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
-def _bucket(keys: np.ndarray) -> np.ndarray:
-    return ((keys * _M) >> np.uint64(64 - 22)).astype(np.int64)
-
-
-def _parts(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Distinct n-grams of some texts at a time, and in how many of those they are."""
+def _document_counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
     for lo in range(0, len(texts), 200):
         own = [np.unique(np.concatenate([np.empty(0, np.uint64), *_grams(_points(t))])) for t in texts[lo : lo + 200]]
-        yield np.unique(np.concatenate(own), return_counts=True)
-
-
-def _document_counts(texts: list[str | None], often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Document counts of the n-grams whose bucket holds more than one document."""
-    parts: list[tuple[np.ndarray, np.ndarray]] = []
-    for keys, n in _parts(texts):
-        keep = often[_bucket(keys)]
-        parts.append((keys[keep], n[keep]))
+        parts.append(np.unique(np.concatenate(own), return_counts=True))
         if len(parts) >= 8:
             parts = [_merge(parts)]
     return _merge(parts) if parts else (np.empty(0, np.uint64), np.empty(0, np.int64))
@@ -128,17 +118,14 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 def fit(texts: list[str | None], toxic: list[int], prior: float | None = None, max_features: int = 20_000, least_z: float = 2.5, alpha: float = 1.0, l2: float = 1.0, rounds: int = 400) -> Model:
     """Fit on labelled texts; ``prior`` is the share of label 1 where it differs from the sample's.
 
-    Without texts of both classes every score is the share of label 1 (0 without any text).
+    Without texts of both classes nothing can be told apart, and every score is 0.
     """
     y = np.array(toxic, float)
     share = float(y.mean()) if len(y) else 0.0
     if not 0 < share < 1:
-        return Model(np.empty(0, np.uint64), np.empty(0), 500.0 if share else -500.0)
+        return Model(np.empty(0, np.uint64), np.empty(0), -np.inf)
     prior = share if prior is None else prior
-    buckets = np.zeros(1 << 22, np.int32)  # n-grams of a single document are most, and can't be significant
-    for held, n in _parts(texts):
-        np.add.at(buckets, _bucket(held), n.astype(np.int32))
-    pos, neg = (_document_counts([t for t, v in zip(texts, toxic, strict=True) if v == c], buckets > 1) for c in (1, 0))
+    pos, neg = (_document_counts([t for t, v in zip(texts, toxic, strict=True) if v == c]) for c in (1, 0))
     keys = np.union1d(pos[0], neg[0])
     p, q = np.zeros(len(keys)), np.zeros(len(keys))
     p[np.searchsorted(keys, pos[0])], q[np.searchsorted(keys, neg[0])] = pos[1], neg[1]

@@ -137,14 +137,47 @@ def suite_passed(candidates: DataFrame, suite: list[str]) -> DataFrame:
     return candidates.groupBy(*suite).agg(F.bool_and(ok).alias("passed"))
 
 
-def image_gate(rows: DataFrame, keys: list[str], fail_under: float | None = None, max_delta_code: float | None = None, metric: str | None = None) -> DataFrame:
-    """The thresholds of single comparisons on the chosen metric (the first by default): a NaN score passes ``fail_under``."""
-    chosen = rows.where((F.col("name") == metric) | F.col("name").endswith(f":{metric}")) if metric else rows
-    first = chosen.groupBy(*keys).agg(F.min_by(F.struct("name", "score", "details"), "pos").alias("m"))
-    low = F.coalesce((F.col("m.score") < fail_under) & ~F.isnan("m.score"), F.lit(False)) if fail_under is not None else F.lit(False)
-    delta = F.try_element_at(F.col("m.details"), F.lit("max_channel_delta_code"))
-    high = F.coalesce(delta > max_delta_code, F.lit(True)) if max_delta_code is not None else F.lit(False)
-    return first.select(*keys, F.col("m.name").alias("name"), F.col("m.score").alias("score"), delta.alias("max_channel_delta_code"), (~low & ~high).alias("passed"))
+@dataclass(frozen=True)
+class ImageThresholds:
+    """Thresholds of single comparisons; None: not asked for. Deltas are in 8-bit codes."""
+
+    metric: str | None = None
+    fail_under: float | None = None
+    max_selected_channel_delta: float | None = None
+    max_alpha_delta: int | None = None
+    max_alpha_mismatches: int | None = None
+    max_alpha_mismatches_beyond_one_lsb: int | None = None
+
+    def __post_init__(self) -> None:
+        for v in (self.fail_under, self.max_selected_channel_delta):
+            if v is not None and not math.isfinite(v):
+                raise UnsupportedInput("thresholds must be finite")
+
+
+def image_gate(rows: DataFrame, keys: list[str], thresholds: ImageThresholds, alpha: DataFrame | None = None) -> DataFrame:
+    """(keys, name, score, passed, failures) of the chosen metric, the first by default.
+
+    It is chosen by its name or by its domain alone. A NaN score passes ``fail_under``. Alpha thresholds look at
+    ``alpha`` (keys, max_delta, mismatch_count, mismatches_beyond_one_lsb) where that is given.
+    """
+    t, m = thresholds, (thresholds.metric or "").strip()
+    chosen = rows.where((F.col("name") == m) | (F.regexp_extract("name", "^[^:]*:(.*)$", 1) == m)) if m else rows
+    out = chosen.groupBy(*keys).agg(F.min_by(F.struct("name", "score", "details"), "pos").alias("m"))
+    if alpha is not None:
+        out = out.join(alpha.select(*keys, "max_delta", "mismatch_count", "mismatches_beyond_one_lsb"), keys, "left")
+    get = lambda k: F.try_element_at(F.col("m.details"), F.lit(k))
+    delta = F.coalesce(get("max_channel_delta_code"), get("max_channel_delta") * 255.0, F.lit(0.0))
+    tests: list[tuple[Column, str]] = []
+    if t.fail_under is not None:
+        tests.append(((F.col("m.score") < t.fail_under) & ~F.isnan("m.score"), f"score is below {t.fail_under:g}"))
+    if t.max_selected_channel_delta is not None:
+        tests.append(((delta > t.max_selected_channel_delta) & ~F.isnan(delta), f"channel delta exceeds {t.max_selected_channel_delta:g}"))
+    if alpha is not None:
+        for column, limit, text in (("max_delta", t.max_alpha_delta, "alpha delta"), ("mismatch_count", t.max_alpha_mismatches, "alpha mismatches"), ("mismatches_beyond_one_lsb", t.max_alpha_mismatches_beyond_one_lsb, "alpha mismatches beyond one code")):
+            if limit is not None:
+                tests.append((F.col(column) > limit, f"{text} exceeds {limit}"))
+    failures = F.array_compact(F.array(*(F.when(c, F.lit(text)) for c, text in tests))) if tests else F.array().cast("array<string>")
+    return out.select(*keys, F.col("m.name").alias("name"), F.col("m.score").alias("score"), failures.alias("failures")).withColumn("passed", F.size("failures") == 0)
 
 
 def report(rows: DataFrame, checks: DataFrame, keys: list[str]) -> DataFrame:

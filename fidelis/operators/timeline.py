@@ -248,10 +248,10 @@ def alignment_rows(pairs: DataFrame, by: list[str], unmatched_reference: DataFra
         "alignment_unmatched_distorted_frames": zero("ud"),
         "alignment_timestamp_scale": F.col("scale"),
         "alignment_timestamp_offset": F.col("offset"),
-        "alignment_mean_signed_delta": F.col("mean_signed_delta"),
-        "alignment_mean_absolute_delta": F.col("mean_absolute_delta"),
-        "alignment_rms_delta": F.col("rms_delta"),
-        "alignment_max_delta": F.col("max_delta"),
+        "alignment_mean_signed_residual": F.col("mean_signed_delta"),
+        "alignment_mean_absolute_residual": F.col("mean_absolute_delta"),
+        "alignment_rms_residual": F.col("rms_delta"),
+        "alignment_max_residual": F.col("max_delta"),
     }
     rows = F.explode(F.array(*(F.struct(F.lit(i).alias("pos"), F.lit(k).alias("name"), v.alias("score")) for i, (k, v) in enumerate(named.items())))).alias("r")
     return wide.select(*by, rows).select(*by, F.lit("alignment").alias("scope"), "r.pos", "r.name", "r.score").where("score is not null")

@@ -106,3 +106,28 @@ def append_sqlite(path: str, report: dict[str, Any], metrics: list[dict[str, Any
             db.execute("INSERT INTO metrics (report_id, scope, frame_index, pts_seconds, name, score, unit, direction, details_json) VALUES (?,?,?,?,?,?,?,?,?)", (found.lastrowid, m.get("scope", "image"), m.get("frame_index"), m.get("pts_seconds"), m["name"], text(m["score"]), m["unit"], m["direction"], json.dumps(plain(m.get("details") or {}))))
     db.close()
     return int(found.lastrowid or 0)
+
+
+def stats_rows(profiles: DataFrame) -> DataFrame:
+    """(input, width, height, pixels, metric, value): the leaves of image profiles (input, profile JSON) as rows."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    def leaves(value: Any, path: str) -> Iterator[tuple[str, str]]:
+        if isinstance(value, dict):
+            for k, v in value.items():
+                yield from leaves(v, f"{path}.{k}" if path else k)
+        elif value is not None:
+            yield path, value if isinstance(value, str) else json.dumps(value)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for name, text in zip(pdf["input"], pdf["profile"], strict=True):
+                p = json.loads(text)
+                head = (name, p.pop("width"), p.pop("height"), p.pop("pixels"))
+                rows += [(*head, k, v) for k, v in leaves(p, "")]
+            yield pd.DataFrame(rows, columns=["input", "width", "height", "pixels", "metric", "value"])
+
+    return profiles.where("profile is not null").select("input", "profile").mapInPandas(run, "input string, width int, height int, pixels long, metric string, value string")

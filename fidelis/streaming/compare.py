@@ -62,3 +62,14 @@ def start(rows: DataFrame, on_batch: Callable[[DataFrame, int], bool | None], ch
     writer = rows.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     holder["q"] = (writer.trigger(availableNow=True) if once else writer).start()
     return holder["q"]
+
+
+def bundle_writer(path: str, key: str = "bundle") -> Callable[[DataFrame, int], None]:
+    """For ``start`` on a stream of frames: packs each micro-batch into bundles, stored by batch id, so that a repeat
+    overwrites what it wrote before."""
+    from ..sources.bundle import encode_bundles
+
+    def write(df: DataFrame, batch: int) -> None:
+        encode_bundles(df, key).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    return write

@@ -39,13 +39,14 @@ def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return q @ x.T
 
 
-def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, step: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, step: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, vec_id, score) of the k best candidates of each query; integer rows, ties to the smaller id."""
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     if not len(q) or not len(x):
         return (np.empty(0, np.int64),) * 3
     order = np.argsort(ids, kind="stable")
     ids, x = ids[order], x[order]
+    step = step or min(256, max(8, 4_000_000 // len(x)))  # so that a step's bounds stay within some tens of MB
     if not x.shape[1]:
         levels = []
     else:

@@ -62,3 +62,20 @@ def test_stats_rows_and_bundle_stream(spark, tmp_path):
     streaming.start(stream, streaming.bundle_writer(f"{tmp_path}/out"), f"{tmp_path}/cp").awaitTermination(60)
     content = spark.read.parquet(f"{tmp_path}/out").first().content
     assert [r["planes"][0]["data"][0] for r in bundle.decode(bytes(content))] == [0, 1, 2]
+
+
+def test_alignment_rows(spark):
+    from pyspark.sql import functions as F
+
+    from fidelis.operators import timeline
+
+    times = lambda ts: spark.createDataFrame([("v", i, float(t)) for i, t in enumerate(ts)], "v string, index long, pts_seconds double")
+    r, d = times([0, 1, 2]), times([0.1, 1.1])
+    pairs = timeline.nearest_with_reuse(r, d, ["v"], 0.5)
+    fit = spark.createDataFrame([("v", 1.0, 0.0)], "v string, scale double, offset double")
+    rows = timeline.alignment_rows(pairs, ["v"], timeline.unmatched(r, pairs, ["v"], "reference"), timeline.unmatched(d, pairs, ["v"], "distorted"), fit)
+    got = {x.name: x.score for x in rows.collect()}
+    assert len(got) == 9 and (got["alignment_planned_pairs"], got["alignment_unmatched_reference_frames"], got["alignment_unmatched_distorted_frames"]) == (2, 1, 0)
+    assert got["alignment_max_residual"] == pytest.approx(0.1) and got["alignment_mean_signed_residual"] == pytest.approx(-0.1)
+    none = timeline.alignment_rows(pairs.where(F.lit(False)), ["v"], r.select("v", "index"), d.select("v", "index"), fit)
+    assert none.count() == 5

@@ -2,11 +2,11 @@
 
 1. Document frequencies of the benchmark's words are counted over all documents.
 2. Every document is cut into overlapping passages with TF-IDF weights sqrt(tf) idf; a word that no benchmark
-   item has counts as one of the rarest in the norm. A passage whose benchmark words hold too small a part of
-   its norm can't reach the cosine threshold with any item (Cauchy-Schwarz) and goes no further.
+   item has counts as one of the rarest. A passage whose benchmark words hold less than ``least_mass`` of its
+   squared norm has a cosine under its root with any item (Cauchy-Schwarz) and goes no further.
 3. A randomised SVD of the remaining passages' matrix, with the items' segments as anchoring rows, gives the latent space:
    tasks add up A'(A Q) in blocks, the driver only orthonormalises a matrix of vocabulary by rank.
-4. Passages and the items' segments are compared by cosine in that space; candidates are verified on the words around the
+4. Passages and the items' segments are compared by their cosine in that space; candidates are verified on the words around the
    passage: longest common subsequence with the item, and how much of the item's answer is there.
 """
 
@@ -128,20 +128,20 @@ def _document_frequencies(docs: DataFrame, vocabulary: dict[bytes, int]) -> tupl
     return df, n_docs
 
 
-REGIONS = "doc_id long, begin long, words array<int>, starts array<int>, norms array<float>"
+REGIONS = "doc_id long, begin long, words array<int>, starts array<int>"
 
 
-def _passages(docs: DataFrame, shared, size: int, least_cosine: float) -> DataFrame:
-    """Regions around the passages that can reach the threshold: vocabulary ids (-1: not of the vocabulary) of the
-    words, where passages start among them, and the passages' norms. Regions of neighbouring passages are one."""
+def _passages(docs: DataFrame, shared, size: int, least_mass: float) -> DataFrame:
+    """Regions around the passages with enough benchmark words: vocabulary ids (-1: not of the vocabulary) of the
+    words, and where passages start among them. Regions of neighbouring passages are one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bench: Benchmark = shared.value
         find, margin = bench.vocabulary.get, bench.longest
         weight = np.append(bench.idf**2, bench.rarest**2)
-        least = least_cosine**2 * (1 - 1e-9)
+        least = least_mass * (1 - 1e-9)
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], []]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words = fold_words(text.as_py())
                 if not words:
@@ -158,11 +158,11 @@ def _passages(docs: DataFrame, shared, size: int, least_cosine: float) -> DataFr
                     continue
                 for run_ in np.split(kept, np.flatnonzero(np.diff(lo[kept]) > margin) + 1):
                     begin = max(0, int(lo[run_[0]]) - margin)
-                    row = (doc_id, begin, ids[begin : int(hi[run_[-1]]) + margin], (lo[run_] - begin).astype(np.int32), np.sqrt(whole[run_]).astype(np.float32))
+                    row = (doc_id, begin, ids[begin : int(hi[run_[-1]]) + margin], (lo[run_] - begin).astype(np.int32))
                     for o, v in zip(out, row, strict=True):
                         o.append(v)
-            types = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, types, strict=True)], ["doc_id", "begin", "words", "starts", "norms"])
+            types = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, types, strict=True)], ["doc_id", "begin", "words", "starts"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return rows.mapInArrow(run, REGIONS)
@@ -245,24 +245,24 @@ def _search(regions: DataFrame, bench_shared, basis: np.ndarray, size: int, leas
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bench: Benchmark = bench_shared.value
-        segments = bench.matrix()
-        norm = np.linalg.norm(segments, axis=1).astype(np.float32)
-        segment_latent = (segments @ latent.value).astype(np.float32)
+        unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+        segments = unit((bench.matrix() @ latent.value).astype(np.float32))
         for batch in batches:
             out: list[list] = [[] for _ in range(7)]
             doc_ids, begins, starts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3)
             owner = np.repeat(np.arange(batch.num_rows), np.diff(starts.offsets.to_numpy())).tolist()
-            place, norms = starts.flatten().to_pylist(), batch.column(4).flatten().to_numpy()
+            place = starts.flatten().to_pylist()
             at = 0
             for _, _, _, y in _projected(batch.column(2), starts, size, bench.idf, latent.value):
-                cosine = (y @ segment_latent.T) / np.maximum(norms[at : at + len(y), None] * norm[None, :], 1e-12)
+                cosine = unit(y) @ segments.T
                 rows, found = np.nonzero(cosine >= least_cosine)
                 closest: dict[tuple[int, int], float] = {}
                 for r, i, c in zip(rows.tolist(), bench.owner[found].tolist(), cosine[rows, found].tolist(), strict=True):
                     closest[r, i] = max(c, closest.get((r, i), 0.0))
                 for (r, i), c in closest.items():
                     n, s = owner[at + r], place[at + r]
-                    around = batch.column(2)[n].values[max(0, s - bench.longest) : s + size + bench.longest].to_pylist()
+                    reach = len(bench.own[i])
+                    around = batch.column(2)[n].values[max(0, s - reach) : s + size + reach].to_pylist()
                     row = (doc_ids[n], bench.ids[i], begins[n] + s, c, *bench.verify(i, around, least_words))
                     for o, v in zip(out, row, strict=True):
                         o.append(v)
@@ -271,11 +271,11 @@ def _search(regions: DataFrame, bench_shared, basis: np.ndarray, size: int, leas
             names = ["doc_id", "item_id", "start", "cosine", "lcs", "lcs_ratio", "answer_ratio"]
             yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, types, strict=True)], names)
 
-    return regions.select("doc_id", "begin", "words", "starts", "norms").mapInArrow(run, FOUND)
+    return regions.select("doc_id", "begin", "words", "starts").mapInArrow(run, FOUND)
 
 
 def contaminated(
-    docs: DataFrame, benchmark: DataFrame, passage_words: int = 10, rank: int = 384, least_cosine: float = 0.4, near: float = 0.8, paraphrase: float = 0.5, answer: float = 0.8, least_words: int = 8, items_at_once: int = 2000
+    docs: DataFrame, benchmark: DataFrame, passage_words: int = 10, rank: int = 256, least_mass: float = 0.16, least_cosine: float = 0.5, near: float = 0.8, paraphrase: float = 0.6, answer: float = 0.8, least_words: int = 8, items_at_once: int = 2000
 ) -> DataFrame:
     """Documents (doc_id, text) that hold items of ``benchmark`` (item_id, text, and answer where it has that column).
 
@@ -299,7 +299,7 @@ def contaminated(
             continue
         bench.weigh(*_document_frequencies(docs, bench.vocabulary))
         shared = spark.sparkContext.broadcast(bench)
-        passages = persist_table(_passages(docs, shared, passage_words, least_cosine), "passages")
+        passages = persist_table(_passages(docs, shared, passage_words, least_mass), "passages")
         n_passages = passages.agg(F.coalesce(F.sum(F.size("starts")), F.lit(0))).first()[0]
         basis = latent_basis(passages, n_passages, bench, passage_words, min(rank, len(bench.vocabulary)))
         best = _search(passages, shared, basis, passage_words, least_cosine, least_words)

@@ -192,7 +192,7 @@ def score(docs: DataFrame, target: DataFrame, vocabulary: int = 1 << 18, head: i
     table = np.zeros((head * head, 4), np.int64)
     table[cells["cell"].to_numpy(np.int64)] = cells[["c0", "c1", "c2", "c3"]].to_numpy(np.int64).reshape(-1, 4)
     table_shared = spark.sparkContext.broadcast(table)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + int(known.counts[[UNKNOWN, *range(FIRST, len(known.counts))]].sum()) // 4_000_000)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + int(known.counts[[UNKNOWN, *range(FIRST, len(known.counts))]].sum()) // 1_500_000)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

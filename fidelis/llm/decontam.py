@@ -1,6 +1,6 @@
 """Benchmark decontamination by latent semantic retrieval with verification.
 
-1. Document frequencies of the benchmark's words are counted over all documents.
+1. Documents become ids of the benchmark's words, whose document frequencies are counted over all documents.
 2. Every document is cut into overlapping passages with TF-IDF weights sqrt(tf) idf; a word that no benchmark
    item has counts as one of the rarest. A passage whose benchmark words hold less than ``least_mass`` of its
    squared norm has a cosine under its root with any item (Cauchy-Schwarz) and goes no further.
@@ -17,6 +17,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -104,22 +105,39 @@ class Benchmark:
         return common, common / n, lcs(self.answer_masks[i], a, words) / a if a else 1.0
 
 
-def _document_frequencies(docs: DataFrame, vocabulary: dict[bytes, int]) -> tuple[np.ndarray, int]:
+def _encoded(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
+    """(doc_id, n_words, ids): every document's words as vocabulary ids (-1: not of the vocabulary), packed."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, n = shared.value, 0
-        df = np.zeros(len(known), np.int64)
+        find, pack = shared.value.get, zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            for text in batch.column(0):
-                found = known.keys() & set(fold_words(text.as_py()))
-                df[[known[w] for w in found]] += 1
+            sizes, packed = [], []
+            for text in batch.column(1):
+                words = fold_words(text.as_py())
+                sizes.append(len(words))
+                packed.append(pack.compress(np.fromiter(map(find, words, repeat(-1)), "<i4", len(words)).tobytes()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "n_words", "ids"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, n_words long, ids binary")
+
+
+def _document_frequencies(encoded: DataFrame, size: int) -> tuple[np.ndarray, int]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack, n = zstandard.ZstdDecompressor(), 0
+        df, seen = np.zeros(size + 1, np.int64), np.zeros(size + 1, bool)  # the last place is for other words
+        for batch in batches:
+            for packed in batch.column(0):
+                seen[:] = False
+                seen[np.frombuffer(unpack.decompress(packed.as_py()), "<i4")] = True
+                df += seen
                 n += 1
-        at = np.flatnonzero(df)
+        at = np.flatnonzero(df[:-1])
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], n))], ["word", "n"])
 
-    got = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()  # at most a row per benchmark word
-    df, n_docs = np.zeros(len(vocabulary)), 0
+    got = encoded.select("ids").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()  # at most a row per benchmark word
+    df, n_docs = np.zeros(size), 0
     for word, n in got:
         if word < 0:
             n_docs = n
@@ -131,27 +149,26 @@ def _document_frequencies(docs: DataFrame, vocabulary: dict[bytes, int]) -> tupl
 REGIONS = "doc_id long, begin long, words array<int>, starts array<int>"
 
 
-def _passages(docs: DataFrame, shared, size: int, least_mass: float) -> DataFrame:
+def _passages(encoded: DataFrame, shared, size: int, least_mass: float) -> DataFrame:
     """Regions around the passages with enough benchmark words: vocabulary ids (-1: not of the vocabulary) of the
     words, and where passages start among them. Regions of neighbouring passages are one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bench: Benchmark = shared.value
-        find, margin = bench.vocabulary.get, bench.longest
+        margin, unpack = bench.longest, zstandard.ZstdDecompressor()
         weight = np.append(bench.idf**2, bench.rarest**2)
         least = least_mass * (1 - 1e-9)
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = fold_words(text.as_py())
-                if not words:
+            for doc_id, n, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if not n:
                     continue
-                ids = np.fromiter(map(find, words, repeat(-1)), np.int32, len(words))
+                ids = np.frombuffer(unpack.decompress(packed.as_py()), "<i4")
                 own = weight[ids]
                 mass = np.concatenate([[0.0], np.cumsum(own)])
                 inside = np.concatenate([[0.0], np.cumsum(np.where(ids >= 0, own, 0.0))])
-                lo = np.arange(0, max(1, len(words) - size // 2), size // 2)
-                hi = np.minimum(lo + size, len(words))
+                lo = np.arange(0, max(1, n - size // 2), size // 2)
+                hi = np.minimum(lo + size, n)
                 whole = mass[hi] - mass[lo]
                 kept = np.flatnonzero(inside[hi] - inside[lo] >= least * whole)
                 if not len(kept):
@@ -164,8 +181,7 @@ def _passages(docs: DataFrame, shared, size: int, least_mass: float) -> DataFram
             types = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, types, strict=True)], ["doc_id", "begin", "words", "starts"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, REGIONS)
+    return encoded.select("doc_id", "n_words", "ids").mapInArrow(run, REGIONS)
 
 
 def _projected(regions: pa.Array, starts: pa.Array, size: int, idf: np.ndarray, basis: np.ndarray, step: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -297,9 +313,10 @@ def contaminated(
         bench = Benchmark([tuple(r) for r in part.orderBy("item_id", "text").collect()], passage_words)
         if not bench.ids:
             continue
-        bench.weigh(*_document_frequencies(docs, bench.vocabulary))
+        encoded = persist_table(_encoded(docs, bench.vocabulary), "encoded")
+        bench.weigh(*_document_frequencies(encoded, len(bench.vocabulary)))
         shared = spark.sparkContext.broadcast(bench)
-        passages = persist_table(_passages(docs, shared, passage_words, least_mass), "passages")
+        passages = persist_table(_passages(encoded, shared, passage_words, least_mass), "passages")
         n_passages = passages.agg(F.coalesce(F.sum(F.size("starts")), F.lit(0))).first()[0]
         basis = latent_basis(passages, n_passages, bench, passage_words, min(rank, len(bench.vocabulary)))
         best = _search(passages, shared, basis, passage_words, least_cosine, least_words)
@@ -308,6 +325,7 @@ def contaminated(
         merged = verified.groupBy("doc_id", "item_id").agg(top)
         found = persist_table(merged.select("doc_id", "item_id", (-F.col("b.back")).alias("start"), "b.cosine", "b.lcs", "b.lcs_ratio", "b.answer_ratio"), "leaks")
         drop_table(passages)
+        drop_table(encoded)
         results.append(found)
     if not results:
         return spark.createDataFrame([], FOUND)

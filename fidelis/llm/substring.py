@@ -6,7 +6,7 @@ stretches with equal minimizer, so shards are made by minimizer and no pair of e
 
 1. Every document is cut into stretches (minimizer, identity of the stretch's text, place). Equal stretches
    of one batch collapse to the earliest; the others' windows all occur earlier.
-2. By minimizer: equal stretches of different batches collapse likewise. What stands alone under its
+2. By minimizer and text: equal stretches of different batches collapse likewise. What stands alone under its
    minimizer repeats nowhere. The rest, each distinct text once, is asked for.
 3. Documents give the asked texts, which are gathered by minimizer into shards of bounded size. A shard gets
    a compressed FM-index; its texts are streamed against it, right to left, for matching statistics. Where
@@ -118,29 +118,26 @@ def _first_pass(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return docs.select("uid", "text").mapInArrow(run, "key long, same long, uid long, first int, count short, later boolean")
 
 
-def _by_minimizer(rows: DataFrame) -> DataFrame:
-    """Marks for later copies; one request per distinct stretch of a minimizer that occurs more than once."""
+def _by_stretch(rows: DataFrame) -> DataFrame:
+    """Marks for later copies, and each distinct stretch once; dealt by minimizer and text, so copies meet and no
+    minimizer gathers in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
 
         def solve(cols: list[np.ndarray]) -> pa.RecordBatch:
             key, same, uid, first, count, later = cols
-            order = np.lexsort((first, uid, same, later, key))
+            order = np.lexsort((first, uid, later, same, key))
             key, same, uid, first, count, later = (c[order] for c in (key, same, uid, first, count, later))
-            new = np.concatenate([[True], key[1:] != key[:-1]])
-            copy = later | np.concatenate([[False], ~new[1:] & (same[1:] == same[:-1]) & ~later[:-1]])
-            group = np.cumsum(new) - 1
-            rows_in, texts_in = np.bincount(group, ~later), np.bincount(group, ~copy)
-            kind = np.where(copy, MARK, np.where(texts_in[group] > CROWDED, ASK_APART, ASK)).astype(np.int8)
-            keep = copy | (rows_in[group] > 1)
-            return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (kind, key, uid, first, count)], ["kind", "key", "uid", "first", "count"])
+            again = np.concatenate([[False], (key[1:] == key[:-1]) & (same[1:] == same[:-1]) & ~later[:-1]])
+            kind = np.where(later | again, MARK, ASK).astype(np.int8)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (kind, key, uid, first, count)], ["kind", "key", "uid", "first", "count"])
 
         for batch in batches:
             now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             if not len(now[0]):
                 continue
-            cut = int(np.searchsorted(now[0], now[0][-1]))  # the last minimizer may go on in the next batch
+            cut = int(np.searchsorted(now[0], now[0][-1]))  # the last minimizer's copies may go on in the next batch
             if cut or held and held[-1][0][-1] != now[0][0]:
                 yield solve([np.concatenate(x) for x in zip(*held, [c[:cut] for c in now], strict=True)])
                 held = []
@@ -148,7 +145,20 @@ def _by_minimizer(rows: DataFrame) -> DataFrame:
         if held:
             yield solve([np.concatenate(x) for x in zip(*held, strict=True)])
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "kind byte, key long, uid long, first int, count short")
+    return rows.repartition("key", "same").sortWithinPartitions("key").mapInArrow(run, "kind byte, key long, uid long, first int, count short")
+
+
+def _by_minimizer(rows: DataFrame) -> DataFrame:
+    """Marks, and requests for the stretches whose minimizer occurs more than once.
+
+    Occurrences are counted with partial sums and joined back, so that a hot minimizer's rows can be split; one with
+    many distinct stretches has them taken apart.
+    """
+    dealt = _by_stretch(rows)
+    asked = F.col("kind") == ASK
+    often = dealt.groupBy("key").agg(F.count_if(asked).alias("texts"), F.count("*").alias("n")).where("n > 1").select("key", "texts")
+    kind = F.when(asked & (F.col("texts") > CROWDED), ASK_APART).otherwise(F.col("kind")).cast("byte")
+    return dealt.join(often, "key", "left").where(~asked | F.col("texts").isNotNull()).select(kind.alias("kind"), "key", "uid", "first", "count")
 
 
 def _texts(docs: DataFrame, asked: DataFrame, window: int) -> DataFrame:

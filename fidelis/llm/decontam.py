@@ -1,9 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval with verification.
 
 1. Documents become ids of the benchmark's words, whose document frequencies are counted over all documents.
-2. Every document is cut into overlapping passages with TF-IDF weights sqrt(tf) idf; a word that no benchmark
-   item has counts as one of the rarest. A passage whose benchmark words hold less than ``least_mass`` of its
-   squared norm has a cosine under its root with any item (Cauchy-Schwarz) and goes no further.
+2. Documents are cut into overlapping passages with weights sqrt(tf) idf. An item counts only if ``share`` of its words, or
+   all of a short item's, are in order around a passage; stretches of text that do not have so many words of any item, in
+   whatever order, go no further. That loses nothing, whatever other words stand between.
 3. A randomised SVD of the remaining passages' matrix, with the items' segments as anchoring rows, gives the latent space:
    tasks add up A'(A Q) in blocks, the driver only orthonormalises a matrix of vocabulary by rank.
 4. Passages and the items' segments are compared by their cosine in that space; candidates are verified on the words around the
@@ -85,7 +85,21 @@ class Benchmark:
 
     def weigh(self, df: np.ndarray, n_docs: int) -> None:
         self.idf = np.log((n_docs + 1) / (df + 1)) + 0.05
-        self.rarest = float(np.log(n_docs + 1) + 0.05)
+
+    def require(self, share: float, least_words: int) -> None:
+        """How many of each item's words must be there, and by word, the items with it and how often."""
+        n = np.array([len(w) for w in self.own])
+        self.need = np.where(n < least_words, n, np.ceil(share * n - 1e-9)).astype(np.int64)
+        rows = [(w, i, k) for i, ws in enumerate(self.own) for w, k in zip(*(x.tolist() for x in np.unique(ws, return_counts=True)), strict=True)]
+        word, self.post_item, self.post_count = np.array(sorted(rows), np.int64).reshape(-1, 3).T.copy()
+        self.post_first = np.searchsorted(word, np.arange(len(self.vocabulary) + 1))
+
+    def possible(self, ids: np.ndarray) -> bool:
+        """Whether some item has as many of its words among ``ids`` (-1: none's) as it needs."""
+        words = np.unique(ids[ids >= 0])
+        first, sizes = self.post_first[words], self.post_first[words + 1] - self.post_first[words]
+        at = np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        return bool((np.bincount(self.post_item[at], self.post_count[at], len(self.need)) >= self.need).any())
 
     def matrix(self) -> np.ndarray:
         out = np.zeros((len(self.segments), len(self.vocabulary)))
@@ -149,28 +163,28 @@ def _document_frequencies(encoded: DataFrame, size: int) -> tuple[np.ndarray, in
 REGIONS = "doc_id long, begin long, words array<int>, starts array<int>"
 
 
-def _passages(encoded: DataFrame, shared, size: int, least_mass: float) -> DataFrame:
-    """Regions around the passages with enough benchmark words: vocabulary ids (-1: not of the vocabulary) of the
+def _passages(encoded: DataFrame, shared, size: int) -> DataFrame:
+    """Regions around the passages near which an item is possible: vocabulary ids (-1: not of the vocabulary) of the
     words, and where passages start among them. Regions of neighbouring passages are one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bench: Benchmark = shared.value
         margin, unpack = bench.longest, zstandard.ZstdDecompressor()
-        weight = np.append(bench.idf**2, bench.rarest**2)
-        least = least_mass * (1 - 1e-9)
+        reach = 2 * margin + size  # what is verified with a passage
         for batch in batches:
             out: list[list] = [[], [], [], []]
             for doc_id, n, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 if not n:
                     continue
                 ids = np.frombuffer(unpack.decompress(packed.as_py()), "<i4")
-                own = weight[ids]
-                mass = np.concatenate([[0.0], np.cumsum(own)])
-                inside = np.concatenate([[0.0], np.cumsum(np.where(ids >= 0, own, 0.0))])
                 lo = np.arange(0, max(1, n - size // 2), size // 2)
                 hi = np.minimum(lo + size, n)
-                whole = mass[hi] - mass[lo]
-                kept = np.flatnonzero(inside[hi] - inside[lo] >= least * whole)
+                inside = np.concatenate([[0], np.cumsum(ids >= 0)])
+                near = np.zeros(len(lo), bool)  # in blocks of twice the reach, each what is verified lies within one
+                for a in range(0, n, reach):
+                    if bench.possible(ids[a : a + 2 * reach]):
+                        near |= (np.maximum(lo - margin, 0) >= a) & (np.minimum(lo + size + margin, n) <= a + 2 * reach)
+                kept = np.flatnonzero(near & (inside[hi] > inside[lo]))
                 if not len(kept):
                     continue
                 for run_ in np.split(kept, np.flatnonzero(np.diff(lo[kept]) > margin) + 1):
@@ -291,7 +305,7 @@ def _search(regions: DataFrame, bench_shared, basis: np.ndarray, size: int, leas
 
 
 def contaminated(
-    docs: DataFrame, benchmark: DataFrame, passage_words: int = 10, rank: int = 256, least_mass: float = 0.16, least_cosine: float = 0.5, near: float = 0.8, paraphrase: float = 0.6, answer: float = 0.8, least_words: int = 8, items_at_once: int = 2000
+    docs: DataFrame, benchmark: DataFrame, passage_words: int = 10, rank: int = 256, least_cosine: float = 0.5, near: float = 0.8, paraphrase: float = 0.6, answer: float = 0.8, least_words: int = 8, items_at_once: int = 2000
 ) -> DataFrame:
     """Documents (doc_id, text) that hold items of ``benchmark`` (item_id, text, and answer where it has that column).
 
@@ -314,9 +328,10 @@ def contaminated(
         if not bench.ids:
             continue
         encoded = persist_table(_encoded(docs, bench.vocabulary), "encoded")
+        bench.require(min(near, paraphrase), least_words)
         bench.weigh(*_document_frequencies(encoded, len(bench.vocabulary)))
         shared = spark.sparkContext.broadcast(bench)
-        passages = persist_table(_passages(encoded, shared, passage_words, least_mass), "passages")
+        passages = persist_table(_passages(encoded, shared, passage_words), "passages")
         n_passages = passages.agg(F.coalesce(F.sum(F.size("starts")), F.lit(0))).first()[0]
         basis = latent_basis(passages, n_passages, bench, passage_words, min(rank, len(bench.vocabulary)))
         best = _search(passages, shared, basis, passage_words, least_cosine, least_words)

@@ -67,3 +67,37 @@ def test_answer_column(spark):
     docs = spark.createDataFrame([(1, "alpha x gamma y epsilon z eta theta iota k answer forty two"), (2, "alpha x gamma y epsilon z eta theta iota k"), *((i, f"filler {i} of other words") for i in range(10, 60))], "doc_id long, text string")
     marks = spark.createDataFrame([(5, body, "forty two")], "item_id long, text string, answer string")
     assert [(r.doc_id, r.lcs) for r in decontam.contaminated(docs, marks).collect()] == [(1, 6)]
+
+
+def test_paraphrases_with_other_ordinary_words(spark):
+    """Every third word of an item is a word that no item has but most documents do; brute force is the rule itself."""
+    rng = np.random.default_rng(6)
+    common = [f"c{i}" for i in range(40)]
+    items = {i: [f"b{x}" for x in rng.integers(0, 30, 24)] for i in range(12)}
+    docs = []
+    for d in range(400):
+        body = list(rng.choice(common, 60)) + [f"b{x}" for x in rng.permutation(30)]
+        if d % 20 == 0:
+            leak = list(items[d // 20 % 12])
+            for k in range(1, 16, 2):
+                leak[k] = common[k]
+            body[20:20] = leak
+        docs.append((d, " ".join(body)))
+    marks = [(i, " ".join(w[:16]) + ". " + " ".join(w[16:])) for i, w in items.items()]
+    want = set()
+    for d, text in docs:
+        if d % 20 == 0:
+            want.add((d, d // 20 % 12))
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(marks, ITEMS), rank=64).collect()
+    assert want <= {(r.doc_id, r.item_id) for r in got}
+
+
+def test_no_possible_passage_is_dropped():
+    """A passage goes on wherever an item's rule could hold, even among words that no item has, in a large corpus."""
+    bench = decontam.Benchmark([(0, "the of and to in is was for. on as", None), (1, "alpha beta", None)], 10)
+    bench.require(0.6, 8)
+    bench.weigh(np.full(len(bench.vocabulary), 9e6), 10**7)  # the items' words are in nearly all documents
+    ids = lambda t: np.array([bench.vocabulary.get(w, -1) for w in decontam.fold_words(t)])
+    assert bench.possible(ids("the x of x and x to x in x is"))
+    assert not bench.possible(ids("the x of x and x to x in x"))
+    assert bench.possible(ids("x alpha beta x")) and not bench.possible(ids("alpha x")) and not bench.possible(ids("x y"))

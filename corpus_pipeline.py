@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fidelis.llm import decontam, neardup, packing, substring, toxicity
+from fidelis.llm import decontam, packing, simhash, substring, toxicity
 from fidelis.llm.common import persist_table, table
 from fidelis.llm.queries import byte_bpe
 
@@ -20,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (Jaccard similarity of five-word shingles from 0.8) stays, the one with the smallest doc_id."""
-    return neardup.keep_one(docs)
+    return simhash.keep_one(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,10 +1,14 @@
-"""Near-duplicate documents by the exact Jaccard similarity of their word shingles; candidates by MinHash bands.
+"""Near copies: SimHash candidates through the segment-popcount embedding, decided by exact Jaccard similarity.
 
-Equal shingle sets collapse first. The others are dealt into ``BANDS`` buckets by ``ROWS`` minima each, so that a pair
-of similarity s shares no bucket with probability (1 - s^ROWS)^BANDS: 3e-6 at 0.8. Every link is then decided on
-the shingle sets themselves. A bucket's rows are first held against its smallest node; what that leaves apart
-is held against its neighbours by length, and at last against all rows of other components in the bucket. So
-a large group costs a row per member, and no pair of a bucket goes untested that could still join two components.
+The SimHash operator in the form that decides on the texts themselves. A document's set of word shingles gets a
+fingerprint of ``WORDS`` times 64 bits, whose 2-bit segments are mapped to their bit counts. A cell is the count vector of
+``SEGMENTS`` segments drawn at random; ``CELLS`` draws are made, so that two documents which agree in a share s of their
+segments share no cell with probability (1 - s^SEGMENTS)^CELLS. Within a cell rows are held against the Manhattan
+bound, then the Hamming distance and the set sizes; the pairs left are decided on the shingle sets.
+
+Equal shingle sets collapse first. In a cell each row is linked to the first row near it, so that a large group costs
+a row per member; rows with further near rows are kept, and once components are known those of different components
+are tested too. So no pair of a cell goes untested that could still join two components.
 """
 
 from __future__ import annotations
@@ -18,14 +22,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, persist_table
-from .simhash import _mix, shingle_hashes
+from .simhash import _mix, shingle_hashes, unary, wide_fingerprints
+
+WORDS, CELLS, SEGMENTS = 6, 128, 8
+#: Differing bits of 64 and of all, about 3.5 standard deviations above what is expected at a similarity of 0.8.
+_NEAR, _NEAR_ALL = 20, 84
+#: Rows of a cell tested pairwise by shifts, and in blocks; in longer ones so many first rows are tried, and so many neighbours by length.
+_SMALL, _LARGE, _LEADERS, _NEIGHBOURS, _BLOCK = 64, 4096, 64, 16, 512
+
+
+def _draw() -> np.ndarray:
+    """Masks (CELLS x WORDS) of the segments of each cell."""
+    rng, out = np.random.default_rng(17), np.zeros((CELLS, WORDS), np.uint64)
+    for row in out:
+        for s in rng.choice(32 * WORDS, SEGMENTS, replace=False).tolist():
+            row[s // 32] |= np.uint64(3 << 2 * (s % 32))
+    return out
+
 
-BANDS, ROWS = 32, 5
-#: Rows up to which a bucket's pairs are all tested at once; in a longer one so many neighbours by length come first.
-_SMALL, _NEIGHBOURS, _BLOCK = 64, 16, 512
-_rng = np.random.default_rng(17)
-_SALTS = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
-_FACTORS = _rng.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_MASKS = _draw()
+_FACTORS = np.random.default_rng(18).integers(0, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_set(text: bytes | None, words_in: int) -> np.ndarray:
@@ -38,19 +54,15 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(a) + len(b) - both) - 1e-9
 
 
-def band_keys(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of ``BANDS`` keys for each set; sets are not empty."""
-    values = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
-    starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
-    out = np.zeros((len(sets), BANDS), np.uint64)
-    for i in range(BANDS * ROWS):
-        least = np.minimum.reduceat((values ^ _SALTS[i]) * _FACTORS[i], starts)
-        out[:, i // ROWS] = _mix(out[:, i // ROWS] ^ least, i)
-    return out
+def cell_keys(prints: np.ndarray) -> Iterator[np.ndarray]:
+    """Each cell's key of every row of ``prints`` (rows x WORDS)."""
+    counts = unary(prints)
+    for i, mask in enumerate(_MASKS):
+        yield _mix(((counts & mask) * _FACTORS).sum(axis=1, dtype=np.uint64), i)
 
 
 def _sets(docs: DataFrame, words_in: int) -> DataFrame:
-    """(doc_id, k0, k1, n, keys): a hash of the shingle set, its size and its packed band keys (null: no words)."""
+    """(doc_id, k0, k1, n, prints): a hash of the shingle set, its size and its fingerprint (null: no words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -58,17 +70,16 @@ def _sets(docs: DataFrame, words_in: int) -> DataFrame:
             for i, text in enumerate(batch.column(1)):
                 some.append(shingle_set(text.as_py(), words_in))
                 held += len(some[-1])
-                if held < 500_000 and i + 1 < batch.num_rows:
+                if held < 200_000 and i + 1 < batch.num_rows:
                     continue
                 marks = np.array([divmod(xxhash.xxh3_128_intdigest(s.tobytes()), 1 << 64) for s in some], np.uint64).view(np.int64)
-                full = [s for s in some if len(s)]
-                keys = iter(band_keys(full) if full else ())
-                packed = [next(keys).tobytes() if len(s) else None for s in some]
+                prints = wide_fingerprints(some, WORDS)
+                packed = [p.tobytes() if len(s) else None for s, p in zip(some, prints, strict=True)]
                 cols = [batch.column(0).slice(first, len(some)), pa.array(marks[:, 0]), pa.array(marks[:, 1]), pa.array([len(s) for s in some], pa.int64()), pa.array(packed, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "k0", "k1", "n", "keys"])
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "k0", "k1", "n", "prints"])
                 first, some, held = i + 1, [], 0
 
-    return docs.mapInArrow(run, "doc_id long, k0 long, k1 long, n long, keys binary")
+    return docs.mapInArrow(run, "doc_id long, k0 long, k1 long, n long, prints binary")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -94,29 +105,90 @@ def _bounds(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.concatenate([starts, [len(keys)]]))
 
 
-def _buckets(heads: DataFrame) -> DataFrame:
-    """(band, node, n, head, head_n, size): rows that share a bucket with others, its smallest node and its size."""
+def _close(n: np.ndarray, m: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Which of the rows (size n, fingerprint a; m, b) may have the similarity: sizes, the bound, the exact distance."""
+    ok = np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9
+    ok &= np.bitwise_count(unary(a) ^ unary(b)) <= _NEAR
+    return ok & (np.bitwise_count(a ^ b) <= _NEAR)
+
+
+def _first_near(n: np.ndarray, fp: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of one long cell: rows linked to the first row near them, those rows, and the rows with further near rows."""
+    k = len(n)
+    head, more = np.full(k, -1), np.zeros(k, bool)
+    if k <= _LARGE:
+        for j in range(0, k, _BLOCK):
+            hi = min(j + _BLOCK, k)
+            at = np.arange(j, hi)
+            near = _close(n[:hi, None], n[None, j:hi], fp[:hi, None], fp[None, j:hi], similarity) & (np.arange(hi)[:, None] < at)
+            first = near.argmax(axis=0)
+            found = np.flatnonzero(near.any(axis=0))
+            head[at[found]] = first[found]
+            near[first[found], found] = False
+            more[:hi] |= near.any(axis=1)
+            more[j:hi] |= near.any(axis=0)
+    else:
+        more[:] = True
+        left = np.arange(k)
+        for _ in range(_LEADERS):
+            if len(left) < 2:
+                break
+            near = _close(n[left[0]], n[left[1:]], fp[left[0]], fp[left[1:]], similarity)
+            head[left[1:][near]] = left[0]
+            left = left[1:][~near]
+    at = np.flatnonzero(head >= 0)
+    return at, head[at], np.flatnonzero(more)
+
+
+def _candidates(heads: DataFrame, similarity: float) -> DataFrame:
+    """Rows of ``heads`` (node, n, prints) that meet in a cell: links (u, v), and, with a cell, rows (u, n, fp) with further near rows."""
+    schema = "cell long, u long, v long, n long, fp long"
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int64).reshape(-1, BANDS)
-            for i in range(BANDS):
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(keys[:, i])), batch.column(0), batch.column(1)], ["band", "node", "n"])
+            for lo in range(0, batch.num_rows, 10_000):
+                part = batch.slice(lo, 10_000)
+                prints = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint64).reshape(-1, WORDS)
+                fp = pa.array(prints[:, 0].copy().view(np.int64))
+                for key in cell_keys(prints):
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column(0), part.column(1), fp], ["cell", "node", "n", "fp"])
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for band, node, n in _runs(batches):
-            starts, sizes = _bounds(band)
-            head, size = np.repeat(starts, sizes), np.repeat(sizes, sizes)
-            at = np.flatnonzero(size > 1)
-            cols = (band[at], node[at], n[at], node[head[at]], n[head[at]], size[at])
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["band", "node", "n", "head", "head_n", "size"])
+    def out(cell: np.ndarray | None, u: np.ndarray, v: np.ndarray | None, n: np.ndarray | None, fp: np.ndarray | None) -> pa.RecordBatch:
+        cols = (pa.nulls(len(u), pa.int64()) if c is None else pa.array(c) for c in (cell, u, v, n, None if fp is None else fp.view(np.int64)))
+        return pa.RecordBatch.from_arrays(list(cols), ["cell", "u", "v", "n", "fp"])
 
-    dealt = heads.select("node", "n", "keys").mapInArrow(deal, "band long, node long, n long")
-    return dealt.repartition("band").sortWithinPartitions("band", "node").mapInArrow(meet, "band long, node long, n long, head long, head_n long, size long")
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell, node, n, signed in _runs(batches):
+            fp = signed.view(np.uint64)
+            starts, sizes = _bounds(cell)
+            head, more, size = np.full(len(cell), -1), np.zeros(len(cell), bool), np.repeat(sizes, sizes)
+            short = np.flatnonzero((size > 1) & (size <= _SMALL))
+            c, m, f = cell[short], n[short], fp[short]
+            for d in range(min(_SMALL, int(sizes.max())) - 1, 0, -1):  # the first near row comes last and stays
+                same = np.flatnonzero((c[d:] == c[:-d]) & (m[:-d] >= similarity * m[d:] - 1e-9))  # rows are by rising n
+                near = same[_close(m[same], m[same + d], f[same], f[same + d], similarity)]
+                here, there = short[near + d], short[near]
+                again = head[here] >= 0
+                more[here[again]] = more[there[again]] = True
+                more[head[here[again]]] = True
+                head[here] = np.where(again, np.minimum(head[here], there), there)
+            for s, k in zip(starts[sizes > _SMALL].tolist(), sizes[sizes > _SMALL].tolist(), strict=True):
+                at, first, rest = _first_near(n[s : s + k], fp[s : s + k], similarity)
+                head[s + at], more[s + rest] = s + first, True
+            at = np.flatnonzero(head >= 0)
+            if len(at):
+                u, v = node[at], node[head[at]]
+                yield out(None, np.maximum(u, v), np.minimum(u, v), None, None)
+            at = np.flatnonzero(more)
+            if len(at):
+                yield out(cell[at], node[at], None, n[at], fp[at])
+
+    dealt = heads.select("node", "n", "prints").mapInArrow(deal, "cell long, node long, n long, fp long")
+    return dealt.repartition("cell").sortWithinPartitions("cell", "n", "node").mapInArrow(meet, schema)
 
 
 def _across(mixed: DataFrame, similarity: float, whole: bool) -> DataFrame:
-    """Pairs (u, v) of rows (band, n, node, component, size) of one bucket but two components, whose sizes allow the similarity."""
+    """Pairs (u, v) of rows (cell, n, node, component, fp) of one cell but two components that may have the similarity."""
 
     def pairs(n: np.ndarray, comp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if whole or len(n) <= _SMALL:
@@ -131,15 +203,17 @@ def _across(mixed: DataFrame, similarity: float, whole: bool) -> DataFrame:
                 yield a, a + d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for band, n, node, comp in _runs(batches):
-            for s, k in zip(*(x.tolist() for x in _bounds(band)), strict=True):
+        for cell, n, node, comp, signed in _runs(batches):
+            fp = signed.view(np.uint64)
+            for s, k in zip(*(x.tolist() for x in _bounds(cell)), strict=True):
                 for a, b in pairs(n[s : s + k], comp[s : s + k]):
                     a, b = a + s, b + s
-                    ok = n[a] >= similarity * n[b] - 1e-9  # rows are by rising n
+                    ok = _close(n[a], n[b], fp[a], fp[b], similarity)
                     u, v = node[a[ok]], node[b[ok]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
+                    if len(u):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
 
-    rows = mixed.select("band", "n", "node", "component").repartition("band").sortWithinPartitions("band", "n")
+    rows = mixed.select("cell", "n", "node", "component", "fp").repartition("cell").sortWithinPartitions("cell", "n")
     return rows.mapInArrow(run, "u long, v long").where("u <> v").distinct()
 
 
@@ -166,26 +240,52 @@ def _verified(docs: DataFrame, pairs: DataFrame, words_in: int, similarity: floa
     return pairs.join(left, "u").join(right, "v").select("u", "v", "su", "sv").mapInArrow(check, "u long, v long")
 
 
-def _groups(docs: DataFrame, words_in: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+def _plausible(pairs: DataFrame, heads: DataFrame) -> DataFrame:
+    """Those of ``pairs`` whose whole fingerprints differ in few enough bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(-1, WORDS) for c in batch.columns[2:])
+            yield batch.select(["u", "v"]).filter(pa.array(np.bitwise_count(a ^ b).sum(axis=1) <= _NEAR_ALL))
+
+    left, right = (heads.select(F.col("node").alias(c), F.col("prints").alias(f"p{c}")) for c in "uv")
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "pu", "pv").mapInArrow(run, "u long, v long")
+
+
+def near_groups(docs: DataFrame, words_in: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """(node) of every distinct shingle set, the smallest doc_id that has it, and (node, component) of the linked ones."""
     sets = persist_table(_sets(docs, words_in), "sets")
     nodes = persist_table(sets.groupBy("k0", "k1").agg(F.min("doc_id").alias("doc_id")), "nodes")
-    heads = sets.where("keys is not null").join(nodes, ["doc_id", "k0", "k1"]).select(F.col("doc_id").alias("node"), "n", "keys")
-    buckets = persist_table(_buckets(heads), "buckets")
-    fits = F.least("n", "head_n") >= similarity * F.greatest("n", "head_n") - 1e-9
-    tested = persist_table(buckets.where(fits & (F.col("node") != F.col("head"))).select(F.col("node").alias("u"), F.col("head").alias("v")).distinct(), "tested")
+    heads = sets.where("prints is not null").join(nodes, ["doc_id", "k0", "k1"]).groupBy(F.col("doc_id").alias("node")).agg(F.first("n").alias("n"), F.first("prints").alias("prints"))
+    heads = persist_table(heads, "heads")
+    met = persist_table(_candidates(heads, similarity), "met")
+    crowded = met.where("cell is not null").select("cell", "n", F.col("u").alias("node"), "fp")
+    linked = persist_table(_plausible(met.where("cell is null").select("u", "v").distinct(), heads), "pairs")
+
+    def unsettled(pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs`` whose ends are not yet known to be of one component."""
+        named = pairs
+        for c in "uv":
+            named = named.join(groups.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")), c, "left")
+        return named.where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v").join(tested, ["u", "v"], "left_anti")
+
+    tested = persist_table(linked.groupBy("u").agg(F.min("v").alias("v")), "tested")  # a pair per row first; what that joins needs no more
     links = persist_table(_verified(docs, tested, words_in, similarity), "links")
     groups = persist_table(connected_components(links), "components")
-    for whole in (False, True):
-        left = buckets.where(F.col("size") > _SMALL) if whole else buckets
-        left = left.join(groups, "node", "left").select("band", "n", "node", F.coalesce("component", "node").alias("component"))
-        apart = persist_table(left.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band"), "apart")
-        if not apart.count():
+    for step in ("linked", "neighbours", "all"):
+        if step == "linked":
+            fresh = unsettled(linked)
+        else:
+            left = crowded.join(groups, "node", "left").select("cell", "n", "node", F.coalesce("component", "node").alias("component"), "fp")
+            least = _SMALL if step == "all" else 0
+            apart = left.groupBy("cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where(f"lo < hi and size > {least}").select("cell")
+            fresh = _plausible(_across(left.join(apart, "cell"), similarity, step == "all").join(tested, ["u", "v"], "left_anti"), heads)
+        more = persist_table(fresh, "pairs")
+        if not more.limit(1).count():
             continue
-        more = persist_table(_across(left.join(apart, "band"), similarity, whole).join(tested, ["u", "v"], "left_anti"), "pairs")
         found = persist_table(_verified(docs, more, words_in, similarity), "links")
         tested = tested.union(more)
-        if found.count():
+        if found.limit(1).count():
             links = links.union(found)
             groups = persist_table(connected_components(links), "components")
     return nodes.select(F.col("doc_id").alias("node")).distinct(), groups
@@ -196,10 +296,11 @@ def keep_one(docs: DataFrame, words_in: int = 5, similarity: float = 0.8) -> Dat
 
     Documents are linked, transitively, whose sets of shingles of ``words_in`` lower-cased words (of fewer words: the
     whole) have a Jaccard similarity of at least ``similarity``; those without words are copies of each other. Of
-    rows repeating a doc_id one stays; rows without doc_id all stay and link nothing.
+    rows repeating a doc_id one stays; rows without doc_id all stay and link nothing. Every link is exact; the cells are
+    drawn for similarities of 0.8 and more and leave out some of the pairs near that bound.
     """
     own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    nodes, groups = _groups(own, words_in, similarity)
+    nodes, groups = near_groups(own, words_in, similarity)
     kept = nodes.join(groups.where("component <> node"), "node", "left_anti").select(F.col("node").alias("doc_id"))
     named = docs.join(persist_table(kept, "kept"), "doc_id", "left_semi")
     if own.groupBy("doc_id").count().where("count > 1").limit(1).count():  # repeated ids only: one row of each

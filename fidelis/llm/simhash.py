@@ -47,22 +47,44 @@ def shingle_hashes(text: bytes | None, words_in: int) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, [joined[a:b] for a, b in zip(starts, stops)], repeat(SEED)), np.uint64, n)  # noqa: B905
 
 
+def _bit_totals(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """(array x 64) how many hashes of each array, one after the other and none empty, have each bit."""
+    rows = hashes.view(np.uint8).reshape(-1, 8)
+    first = np.cumsum(sizes) - sizes
+    pieces = -(-sizes // 255)  # a byte holds the count of 255 rows
+    owner = np.cumsum(pieces) - pieces
+    which = np.repeat(np.arange(len(sizes)), pieces)
+    cuts = first[which] + (np.arange(len(which)) - owner[which]) * 255
+    counts = np.stack([np.add.reduceat(_SPREAD[rows[:, k]], cuts) for k in range(8)], axis=1).astype("<u8").view(np.uint8).reshape(len(cuts), 64)
+    return np.add.reduceat(counts.astype(np.int64), owner, axis=0)
+
+
+def _packed(bits: np.ndarray) -> np.ndarray:
+    return np.packbits(bits, axis=1, bitorder="little").view("<u8").reshape(-1)
+
+
 def _fingerprints(hashes: list[np.ndarray]) -> np.ndarray:
     """One fingerprint per array: a bit is set if it is in over half of the hashes."""
     sizes = np.array([len(h) for h in hashes], np.int64)
     out = np.zeros(len(hashes), np.uint64)
     full = np.flatnonzero(sizes)
-    if not len(full):
-        return out
-    rows = np.concatenate([hashes[i] for i in full]).view(np.uint8).reshape(-1, 8)
-    n, first = sizes[full], np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
-    pieces = -(-n // 255)  # a byte holds the count of 255 rows
-    owner = np.concatenate([[0], np.cumsum(pieces)[:-1]])
-    which = np.repeat(np.arange(len(n)), pieces)
-    cuts = first[which] + (np.arange(len(which)) - owner[which]) * 255
-    counts = np.stack([np.add.reduceat(_SPREAD[rows[:, k]], cuts) for k in range(8)], axis=1).astype("<u8").view(np.uint8).reshape(len(cuts), 64)
-    totals = np.add.reduceat(counts.astype(np.int64), owner, axis=0)
-    out[full] = np.packbits(totals * 2 > n[:, None], axis=1, bitorder="little").view("<u8").reshape(-1)
+    if len(full):
+        n = sizes[full]
+        out[full] = _packed(_bit_totals(np.concatenate([hashes[i] for i in full]), n) * 2 > n[:, None])
+    return out
+
+
+def wide_fingerprints(sets: list[np.ndarray], words: int) -> np.ndarray:
+    """(set x words) fingerprints of several words of 64 bits, of hash sets; a tie is broken by the least hash."""
+    sizes = np.array([len(h) for h in sets], np.int64)
+    out = np.zeros((len(sets), words), np.uint64)
+    full = np.flatnonzero(sizes)
+    if len(full):
+        n, hashes = sizes[full], np.concatenate([sets[i] for i in full])
+        for k in range(words):
+            own = _mix(hashes, 101 + k)
+            least = np.unpackbits(own[np.cumsum(n) - n].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            out[full, k] = _packed(_bit_totals(own, n) * 2 + least > n[:, None])
     return out
 
 
@@ -218,26 +240,21 @@ def near_duplicate_groups(docs: DataFrame, words_in: int = 3, radius: int = 3) -
     """Group documents (doc_id, text) whose SimHash fingerprints differ in at most ``radius`` bits, transitively.
 
     Result: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable), a row per input
-    row. Null, empty and white-space texts have fingerprint zero and link like any other. A null doc_id keeps
-    its fingerprint and has its group's component_id, but names no group (null if none of its group has an id).
-    An empty table gives an empty result; other columns are ignored.
+    row. Null, empty and white-space texts have fingerprint zero and link like any other. A row without doc_id links
+    like any other and has its group's component_id (null if no row of the group has an id). An empty table gives an
+    empty result; other columns are ignored.
     """
     prints = persist_table(fingerprints(docs, words_in), "prints")
-    distinct = persist_table(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "distinct")
-    named = distinct.where("node is not null")
-    groups = connected_components(links(named, radius))
-    by_print = named.join(groups, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(by_print, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    distinct = persist_table(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    groups = connected_components(links(distinct.select("fp", F.col("fp").alias("node")), radius))
+    placed = distinct.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    placed = persist_table(placed, "placed")
+    named = placed.join(placed.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("fp", "component_id")
+    return prints.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words_in: int = 3, radius: int = 3) -> DataFrame:
-    """The rows of ``docs`` (all their columns), one of each group: that with the smallest doc_id.
+def keep_one(docs: DataFrame, words_in: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs``, one of each group of near copies, decided on the texts: see :mod:`.neardup`."""
+    from . import neardup
 
-    Of rows repeating that doc_id one stays; a group without any doc_id keeps all its rows.
-    """
-    kept = near_duplicate_groups(docs, words_in, radius).where("doc_id is not null and doc_id = component_id").groupBy("doc_id").count()
-    kept = persist_table(kept, "kept")
-    named = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
-    if kept.where("count > 1").limit(1).count():  # repeated ids only: one row of each
-        named = named.dropDuplicates(["doc_id"])
-    return named.select(docs.columns).union(docs.where("doc_id is null"))
+    return neardup.keep_one(docs, words_in, similarity)

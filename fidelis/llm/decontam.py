@@ -1,18 +1,17 @@
 """Benchmark decontamination by latent semantic retrieval with verification.
 
 1. Documents become ids of the benchmark's words, whose document frequencies are counted over all documents.
-2. Documents are cut into overlapping passages with weights sqrt(tf) idf. An item counts only if ``share`` of its words, or
-   all of a short item's, are in order around a passage; stretches of text that do not have so many words of any item, in
-   whatever order, go no further. That loses nothing, whatever other words stand between.
-3. A randomised SVD of the remaining passages' matrix, with the items' segments as anchoring rows, gives the latent space:
-   tasks add up A'(A Q) in blocks, the driver only orthonormalises a matrix of vocabulary by rank.
-4. Passages and the items' segments are compared by their cosine in that space; candidates are verified on the words around the
-   passage: longest common subsequence with the item, and how much of the item's answer is there.
+2. A randomised SVD of the matrix of all documents' passages, weighted sqrt(tf) idf, with the items' segments as anchoring
+   rows, gives the latent space: tasks add up A'(A Q), the driver only orthonormalises a matrix of vocabulary by rank.
+3. An item counts only if ``share`` of its words, or all of a short item's, are in order around a passage. Overlapping passages
+   that do not have so many words of any item around them, in whatever order, go no further; that loses nothing.
+4. Passages and the items' segments are compared by their cosine in the latent space; candidates are verified on the words around
+   the passage: longest common subsequence with the item, and how much of the item's answer is there.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -59,6 +58,16 @@ def position_masks(words: list) -> dict:
     return out
 
 
+def numbered(words: Iterable[bytes]) -> dict[bytes, int]:
+    return {w: i for i, w in enumerate(sorted(set(words)))}
+
+
+def _counted(row: np.ndarray, word: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (row, word) in order, and how often each occurs."""
+    both, tf = np.unique(row * size + word, return_counts=True)
+    return both // size, both % size, tf
+
+
 class Benchmark:
     """Items with their words, the vocabulary, segments to compare with passages, and what verification needs.
 
@@ -66,7 +75,7 @@ class Benchmark:
     within an item lies within a segment, however long the item.
     """
 
-    def __init__(self, items: list[tuple[int, str, str | None]], passage_words: int) -> None:
+    def __init__(self, items: list[tuple[int, str, str | None]], passage_words: int, vocabulary: dict[bytes, int] | None = None) -> None:
         self.ids, self.words, self.answers = [], [], []
         for item_id, text, answer in items:
             words = fold_words(text)
@@ -74,39 +83,44 @@ class Benchmark:
                 self.ids.append(item_id)
                 self.words.append(words)
                 self.answers.append(answer_words(text, answer))
-        self.vocabulary = {w: i for i, w in enumerate(sorted({w for ws in [*self.words, *self.answers] for w in ws}))}
+        self.vocabulary = numbered(w for ws in [*self.words, *self.answers] for w in ws) if vocabulary is None else vocabulary
         self.own = [[self.vocabulary[w] for w in ws] for ws in self.words]
         self.masks = [position_masks(w) for w in self.own]
-        self.answer_masks = [position_masks([self.vocabulary.get(w, -2) for w in ws]) for ws in self.answers]
+        self.answer_masks = [position_masks([self.vocabulary[w] for w in ws]) for ws in self.answers]
         self.longest = max(map(len, self.words), default=0)
-        cuts = [(i, w[a : a + 2 * passage_words]) for i, w in enumerate(self.words) for a in range(0, max(1, len(w) - passage_words), passage_words)]
+        cuts = [(i, w[a : a + 2 * passage_words]) for i, w in enumerate(self.own) for a in range(0, max(1, len(w) - passage_words), passage_words)]
         self.owner = np.array([i for i, _ in cuts], np.int64)
         self.segments = [w for _, w in cuts]
 
-    def weigh(self, df: np.ndarray, n_docs: int) -> None:
-        self.idf = np.log((n_docs + 1) / (df + 1)) + 0.05
+    def terms(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(segment, word, how often) of all segments."""
+        row = np.repeat(np.arange(len(self.segments)), [len(w) for w in self.segments])
+        return _counted(row, np.array([w for ws in self.segments for w in ws], np.int64), len(self.vocabulary))
 
     def require(self, share: float, least_words: int) -> None:
         """How many of each item's words must be there, and by word, the items with it and how often."""
         n = np.array([len(w) for w in self.own])
         self.need = np.where(n < least_words, n, np.ceil(share * n - 1e-9)).astype(np.int64)
-        rows = [(w, i, k) for i, ws in enumerate(self.own) for w, k in zip(*(x.tolist() for x in np.unique(ws, return_counts=True)), strict=True)]
+        self.counted = [np.unique(w, return_counts=True) for w in self.own]
+        rows = [(w, i, k) for i, c in enumerate(self.counted) for w, k in zip(*(x.tolist() for x in c), strict=True)]
         word, self.post_item, self.post_count = np.array(sorted(rows), np.int64).reshape(-1, 3).T.copy()
         self.post_first = np.searchsorted(word, np.arange(len(self.vocabulary) + 1))
 
-    def possible(self, ids: np.ndarray) -> bool:
-        """Whether some item has as many of its words among ``ids`` (-1: none's) as it needs."""
-        words = np.unique(ids[ids >= 0])
-        first, sizes = self.post_first[words], self.post_first[words + 1] - self.post_first[words]
+    def overlap(self, row: np.ndarray, ids: np.ndarray, rows: int) -> np.ndarray:
+        """(rows x items) how many of each item's words are among the ``ids`` (-1: none's) of each row."""
+        inside = ids >= 0
+        row, word, tf = _counted(row[inside], ids[inside], len(self.vocabulary))
+        first, sizes = self.post_first[word], self.post_first[word + 1] - self.post_first[word]
         at = np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        return bool((np.bincount(self.post_item[at], self.post_count[at], len(self.need)) >= self.need).any())
+        both = np.repeat(row, sizes) * len(self.need) + self.post_item[at]
+        return np.bincount(both, np.minimum(np.repeat(tf, sizes), self.post_count[at]), rows * len(self.need)).reshape(rows, -1)
 
-    def matrix(self) -> np.ndarray:
-        out = np.zeros((len(self.segments), len(self.vocabulary)))
-        for i, ws in enumerate(self.segments):
-            at, tf = np.unique([self.vocabulary[w] for w in ws], return_counts=True)
-            out[i, at] = np.sqrt(tf) * self.idf[at]
-        return out
+    def reached(self, i: int, ids: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Which of the ranges of ``ids`` have as many of item i's words as it needs."""
+        words, counts = self.counted[i]
+        seen = np.zeros((len(ids) + 1, len(words)), np.int32)
+        np.cumsum(ids[:, None] == words, axis=0, out=seen[1:])
+        return np.minimum(seen[end] - seen[begin], counts).sum(axis=1) >= self.need[i]
 
     def verify(self, i: int, words: list[int], least_words: int) -> tuple[int, float, float]:
         """(LCS, its share of the item, share of the answer found); short items must be there word for word."""
@@ -160,7 +174,57 @@ def _document_frequencies(encoded: DataFrame, size: int) -> tuple[np.ndarray, in
     return df, n_docs
 
 
+def weights(df: np.ndarray, n_docs: int) -> np.ndarray:
+    return np.log((n_docs + 1) / (df + 1)) + 0.05
+
+
 REGIONS = "doc_id long, begin long, words array<int>, starts array<int>"
+#: Words of documents taken together by the filter and the decomposition.
+_WORDS_AT_ONCE = 100_000
+
+
+def _unpacked(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(first row, ids of each document) of some rows at a time."""
+    unpack, held, size = zstandard.ZstdDecompressor(), [], 0
+    for i, packed in enumerate(batch.column(column)):
+        held.append(np.frombuffer(unpack.decompress(packed.as_py()), "<i4"))
+        size += len(held[-1])
+        if size >= _WORDS_AT_ONCE or i + 1 == batch.num_rows:
+            yield i + 1 - len(held), held
+            held, size = [], 0
+
+
+def _pieces(docs: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The piece of ``length`` words that each word of the documents lies in, numbered through, and each document's first."""
+    n = np.array([len(d) for d in docs], np.int64)
+    first = np.concatenate([[0], np.cumsum(-(-n // length))])
+    inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(first[:-1], n) + inside // length, first
+
+
+def _near_passages(docs: list[np.ndarray], bench: Benchmark, size: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(document, starts of its passages around which some item's rule could hold)."""
+    reach = 2 * bench.longest + size  # what is verified with a passage lies within two neighbouring pieces of that length
+    piece, first = _pieces(docs, reach)
+    ids = np.concatenate(docs)
+    later = ~np.isin(piece, first)  # each piece together with the next of its document
+    have = bench.overlap(np.concatenate([piece, piece[later] - 1]), np.concatenate([ids, ids[later]]), int(first[-1]))
+    at, item = np.nonzero(have >= bench.need)
+    owner = np.searchsorted(first, at, side="right") - 1
+    cuts = np.flatnonzero(np.diff(owner, prepend=-1, append=-1)) if len(owner) else []
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        ids, d = docs[owner[a]], int(owner[a])
+        lo = np.arange(0, max(1, len(ids) - size // 2), size // 2)
+        near = np.zeros(len(lo), bool)
+        for p, i in zip((at[a:b] - first[d]).tolist(), item[a:b].tolist(), strict=True):
+            left, right, own = p * reach, (p + 2) * reach, len(bench.own[i])
+            x, y = np.searchsorted(lo, [left if p else 0, right])
+            begin, end = np.maximum(lo[x:y] - own, 0), np.minimum(lo[x:y] + size + own, len(ids))
+            fits = (begin >= left) & (end <= right)
+            begin, end = begin[fits] - left, end[fits] - left
+            near[x:y][np.flatnonzero(fits)[bench.reached(i, ids[left:right], begin, end)]] = True
+        if near.any():
+            yield d, lo[near]
 
 
 def _passages(encoded: DataFrame, shared, size: int) -> DataFrame:
@@ -169,37 +233,41 @@ def _passages(encoded: DataFrame, shared, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bench: Benchmark = shared.value
-        margin, unpack = bench.longest, zstandard.ZstdDecompressor()
-        reach = 2 * margin + size  # what is verified with a passage
+        margin = bench.longest
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for doc_id, n, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if not n:
-                    continue
-                ids = np.frombuffer(unpack.decompress(packed.as_py()), "<i4")
-                lo = np.arange(0, max(1, n - size // 2), size // 2)
-                hi = np.minimum(lo + size, n)
-                inside = np.concatenate([[0], np.cumsum(ids >= 0)])
-                near = np.zeros(len(lo), bool)  # in blocks of twice the reach, each what is verified lies within one
-                for a in range(0, n, reach):
-                    if bench.possible(ids[a : a + 2 * reach]):
-                        near |= (np.maximum(lo - margin, 0) >= a) & (np.minimum(lo + size + margin, n) <= a + 2 * reach)
-                kept = np.flatnonzero(near & (inside[hi] > inside[lo]))
-                if not len(kept):
-                    continue
-                for run_ in np.split(kept, np.flatnonzero(np.diff(lo[kept]) > margin) + 1):
-                    begin = max(0, int(lo[run_[0]]) - margin)
-                    row = (doc_id, begin, ids[begin : int(hi[run_[-1]]) + margin], (lo[run_] - begin).astype(np.int32))
-                    for o, v in zip(out, row, strict=True):
-                        o.append(v)
+            for at, docs in _unpacked(batch, 1):
+                for d, kept in _near_passages(docs, bench, size):
+                    for run_ in np.split(kept, np.flatnonzero(np.diff(kept) > margin) + 1):
+                        begin = max(0, int(run_[0]) - margin)
+                        row = (batch.column(0)[at + d].as_py(), begin, docs[d][begin : int(run_[-1]) + size + margin], (run_ - begin).astype(np.int32))
+                        for o, v in zip(out, row, strict=True):
+                            o.append(v)
             types = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, types, strict=True)], ["doc_id", "begin", "words", "starts"])
 
-    return encoded.select("doc_id", "n_words", "ids").mapInArrow(run, REGIONS)
+    return encoded.select("doc_id", "ids").mapInArrow(run, REGIONS)
+
 
+def _summed(row: np.ndarray, word: np.ndarray, value: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, their projections): value-weighted sums of the basis over each row's words; rows are in order."""
+    heads = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))[: len(row)]
+    return row[heads], np.add.reduceat(basis[word] * value[:, None], heads, axis=0) if len(row) else np.empty((0, basis.shape[1]), basis.dtype)
 
-def _projected(regions: pa.Array, starts: pa.Array, size: int, idf: np.ndarray, basis: np.ndarray, step: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(row, word, weight, projections) of the passages in order, some at a time; weights are sqrt(tf) idf."""
+
+def _back(row: np.ndarray, word: np.ndarray, value: np.ndarray, basis: np.ndarray, total: np.ndarray, step: int = 32) -> None:
+    """Add A'(A basis) to ``total``, for the sparse rows A; a few rows at a time are dense in the words that they have."""
+    cuts = np.searchsorted(row, np.arange(0, int(row[-1]) + 1 + step, step)).tolist() if len(row) else []
+    for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        if lo < hi:
+            own, at = np.unique(word[lo:hi], return_inverse=True)
+            x = np.zeros((step, len(own)), basis.dtype)
+            x[row[lo:hi] - k * step, at] = value[lo:hi]
+            total[own] += x.T @ (x @ basis[own])
+
+
+def _projected(regions: pa.Array, starts: pa.Array, size: int, idf: np.ndarray, basis: np.ndarray, step: int = 512) -> Iterator[np.ndarray]:
+    """The projections of the passages in order, some at a time; weights are sqrt(tf) idf."""
     words, ends = regions.flatten().to_numpy(), regions.offsets.to_numpy() - regions.offsets[0].as_py()
     per_row = np.diff(starts.offsets.to_numpy())
     first = np.repeat(ends[:-1], per_row) + starts.flatten().to_numpy()
@@ -209,31 +277,28 @@ def _projected(regions: pa.Array, starts: pa.Array, size: int, idf: np.ndarray,
         inside = at < last[lo : lo + step, None]
         word = np.where(inside, words[np.minimum(at, len(words) - 1)], -1)
         row, where = np.nonzero(word >= 0)
-        both, tf = np.unique(row * len(idf) + word[row, where], return_counts=True)
-        row, word = both // len(idf), both % len(idf)
-        value = (np.sqrt(tf) * idf[word]).astype(np.float32)
+        row, word, tf = _counted(row, word[row, where].astype(np.int64), len(idf))
         out = np.zeros((len(at), basis.shape[1]), np.float32)
-        if len(row):
-            heads = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-            out[row[heads]] = np.add.reduceat(basis[word] * value[:, None], heads, axis=0)
-        yield row, word, value, out
+        rows, y = _summed(row, word, (np.sqrt(tf) * idf[word]).astype(np.float32), basis)
+        out[rows] = y
+        yield out
 
 
-def latent_basis(regions: DataFrame, n_passages: int, bench: Benchmark, size: int, rank: int, rounds: int = 1, seed: int = 11) -> np.ndarray:
-    """Right singular vectors (vocabulary x rank) of the passages and the anchoring segments, by randomised iteration.
+def latent_basis(encoded: DataFrame, anchors: list[tuple[np.ndarray, np.ndarray, np.ndarray]], idf: np.ndarray, size: int, rank: int, rounds: int = 1, seed: int = 11) -> np.ndarray:
+    """Right singular vectors (vocabulary x rank) of all documents' passages and the anchoring segments, by randomised iteration.
 
-    Each task adds up its share of A'(A Q); there are about twice as many tasks as the cluster has cores, so that
-    what is summed follows the cluster and not the data.
+    Passages are documents' words in pieces of ``size``. Segments together weigh as much as all passages. Each task adds up
+    its share of A'(A Q); there are about twice as many tasks as the cluster has cores, so that what is summed
+    follows the cluster and not the data.
     """
-    spark = regions.sparkSession
-    items = bench.matrix()
-    width = min(rank + 16, len(bench.vocabulary))
-    anchor = 1.0 + n_passages / max(1, len(items))
-    q = np.linalg.qr(np.random.default_rng(seed).normal(size=(len(bench.vocabulary), width)))[0]
+    spark = encoded.sparkSession
+    width = min(rank + 16, len(idf))
+    n_passages = encoded.agg(F.coalesce(F.sum(F.ceil(F.col("n_words") / size)), F.lit(0))).first()[0]
+    anchor = 1.0 + n_passages / max(1, sum(int(a[0][-1]) + 1 for a in anchors if len(a[0])))
+    q = np.linalg.qr(np.random.default_rng(seed).normal(size=(len(idf), width)))[0]
     n_blocks = 16
-    edges = np.linspace(0, len(bench.vocabulary), n_blocks + 1).astype(int)
-    idf = bench.idf
-    shares = regions.select("words", "starts").coalesce(2 * spark.sparkContext.defaultParallelism)
+    edges = np.linspace(0, len(idf), n_blocks + 1).astype(int)
+    shares = encoded.select("ids").coalesce(2 * spark.sparkContext.defaultParallelism)
 
     def times(basis: np.ndarray) -> np.ndarray:
         shared = spark.sparkContext.broadcast(basis.astype(np.float32))
@@ -241,12 +306,10 @@ def latent_basis(regions: DataFrame, n_passages: int, bench: Benchmark, size: in
         def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(shared.value.shape, np.float32)
             for batch in batches:
-                for row, word, value, y in _projected(batch.column(0), batch.column(1), size, idf, shared.value):
-                    order = np.argsort(word, kind="stable")
-                    w = word[order]
-                    if len(w):
-                        first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-                        total[w[first]] += np.add.reduceat(y[row[order]] * value[order][:, None], first, axis=0)
+                for _, docs in _unpacked(batch, 0):
+                    ids = np.concatenate(docs)
+                    row, word, tf = _counted(_pieces(docs, size)[0][ids >= 0], ids[ids >= 0], len(idf))
+                    _back(row, word, (np.sqrt(tf) * idf[word]).astype(np.float32), shared.value, total)
             parts = [total[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([pa.array(range(n_blocks), pa.int32()), pa.array(parts, pa.binary())], ["block", "part"])
 
@@ -257,7 +320,10 @@ def latent_basis(regions: DataFrame, n_passages: int, bench: Benchmark, size: in
         schema = "block int, part binary"
         summed = shares.mapInArrow(partial, schema).repartition(n_blocks, "block").groupBy("block").applyInArrow(add, schema)
         blocks = {r.block: np.frombuffer(r.part, np.float32) for r in summed.collect()}  # vocabulary x width numbers
-        out = anchor * (items.T @ (items @ basis))
+        out = np.zeros(basis.shape)
+        for row, word, tf in anchors:
+            _back(row, word, np.sqrt(tf) * idf[word], basis, out)
+        out *= anchor
         for b, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
             if b in blocks:
                 out[lo:hi] += blocks[b].reshape(hi - lo, basis.shape[1])
@@ -270,21 +336,27 @@ def latent_basis(regions: DataFrame, n_passages: int, bench: Benchmark, size: in
     return q @ vectors[:, np.argsort(-values)[:rank]]
 
 
-def _search(regions: DataFrame, bench_shared, basis: np.ndarray, size: int, least_cosine: float, least_words: int) -> DataFrame:
-    latent = regions.sparkSession.sparkContext.broadcast(basis.astype(np.float32))
+def _unit(v: np.ndarray) -> np.ndarray:
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+
+
+def _search(regions: DataFrame, bench_shared, idf: np.ndarray, basis: np.ndarray, size: int, least_cosine: float, least_words: int) -> DataFrame:
+    """A row (FOUND) for each passage and item that are close in the latent space, verified."""
+    row, word, tf = bench_shared.value.terms()
+    segments = _unit(_summed(row, word, np.sqrt(tf) * idf[word], basis)[1]).astype(np.float32)  # no segment is empty
+    latent = regions.sparkSession.sparkContext.broadcast((idf, basis.astype(np.float32), segments))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bench: Benchmark = bench_shared.value
-        unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
-        segments = unit((bench.matrix() @ latent.value).astype(np.float32))
+        idf, basis, segments = latent.value
         for batch in batches:
             out: list[list] = [[] for _ in range(7)]
             doc_ids, begins, starts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3)
             owner = np.repeat(np.arange(batch.num_rows), np.diff(starts.offsets.to_numpy())).tolist()
             place = starts.flatten().to_pylist()
             at = 0
-            for _, _, _, y in _projected(batch.column(2), starts, size, bench.idf, latent.value):
-                cosine = unit(y) @ segments.T
+            for y in _projected(batch.column(2), starts, size, idf, basis):
+                cosine = _unit(y) @ segments.T
                 rows, found = np.nonzero(cosine >= least_cosine)
                 closest: dict[tuple[int, int], float] = {}
                 for r, i, c in zip(rows.tolist(), bench.owner[found].tolist(), cosine[rows, found].tolist(), strict=True):
@@ -305,7 +377,7 @@ def _search(regions: DataFrame, bench_shared, basis: np.ndarray, size: int, leas
 
 
 def contaminated(
-    docs: DataFrame, benchmark: DataFrame, passage_words: int = 10, rank: int = 256, least_cosine: float = 0.5, near: float = 0.8, paraphrase: float = 0.6, answer: float = 0.8, least_words: int = 8, items_at_once: int = 2000
+    docs: DataFrame, benchmark: DataFrame, passage_words: int = 10, rank: int = 256, least_cosine: float = 0.5, near: float = 0.8, paraphrase: float = 0.6, answer: float = 0.5, least_words: int = 8, items_at_once: int = 2000, most_words: int = 200_000
 ) -> DataFrame:
     """Documents (doc_id, text) that hold items of ``benchmark`` (item_id, text, and answer where it has that column).
 
@@ -314,37 +386,45 @@ def contaminated(
     ``paraphrase`` of them and ``answer`` of the answer's. Words are lower-cased (A-Z) and without ASCII punctuation.
     Items of fewer than ``least_words`` words must occur word for word; items without words or with a null item_id
     and documents without words give no rows. Repeated rows of one doc_id are one document; a null doc_id is
-    reported as null. Items are taken ``items_at_once``, so that what is broadcast is bounded. Empty tables give an
-    empty result; other columns are ignored.
+    reported as null. Vocabulary, frequencies and latent space are those of the whole benchmark; items are searched
+    ``items_at_once``, so that what is broadcast is bounded, which changes no result. A benchmark of over
+    ``most_words`` distinct words is refused. Empty tables give an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
     has_answer = "answer" in benchmark.columns
     rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text", F.col("answer").cast("string").alias("answer") if has_answer else F.lit(None).cast("string").alias("answer"))
     slices = max(1, -(-rows.count() // items_at_once))
-    results = []
+
+    def part(s: int, vocabulary: dict[bytes, int] | None) -> Benchmark:
+        some = rows if slices == 1 else rows.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == s)
+        return Benchmark([tuple(r) for r in some.orderBy("item_id", "text").collect()], passage_words, vocabulary)
+
+    words: set[bytes] = set()
     for s in range(slices):
-        part = rows if slices == 1 else rows.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == s)
-        bench = Benchmark([tuple(r) for r in part.orderBy("item_id", "text").collect()], passage_words)
+        words |= part(s, None).vocabulary.keys()
+        if len(words) > most_words:
+            raise ValueError(f"the benchmark has over {most_words} distinct words; divide it")
+    if not words:
+        return spark.createDataFrame([], FOUND)
+    vocabulary = numbered(words)
+    encoded = persist_table(_encoded(docs, vocabulary), "encoded")
+    idf = weights(*_document_frequencies(encoded, len(vocabulary)))
+    anchors = [part(s, vocabulary).terms() for s in range(slices)]
+    basis = latent_basis(encoded, anchors, idf, 4 * passage_words, min(rank, len(vocabulary)))
+    out = None
+    for s in range(slices):
+        bench = part(s, vocabulary)
         if not bench.ids:
             continue
-        encoded = persist_table(_encoded(docs, bench.vocabulary), "encoded")
         bench.require(min(near, paraphrase), least_words)
-        bench.weigh(*_document_frequencies(encoded, len(bench.vocabulary)))
         shared = spark.sparkContext.broadcast(bench)
         passages = persist_table(_passages(encoded, shared, passage_words), "passages")
-        n_passages = passages.agg(F.coalesce(F.sum(F.size("starts")), F.lit(0))).first()[0]
-        basis = latent_basis(passages, n_passages, bench, passage_words, min(rank, len(bench.vocabulary)))
-        best = _search(passages, shared, basis, passage_words, least_cosine, least_words)
+        best = _search(passages, shared, idf, basis, passage_words, least_cosine, least_words)
         verified = best.where((F.col("lcs_ratio") >= near) | (F.col("lcs_ratio") >= paraphrase) & (F.col("answer_ratio") >= answer))
         top = F.max(F.struct("lcs", "answer_ratio", "cosine", (-F.col("start")).alias("back"), "lcs_ratio")).alias("b")
         merged = verified.groupBy("doc_id", "item_id").agg(top)
         found = persist_table(merged.select("doc_id", "item_id", (-F.col("b.back")).alias("start"), "b.cosine", "b.lcs", "b.lcs_ratio", "b.answer_ratio"), "leaks")
         drop_table(passages)
-        drop_table(encoded)
-        results.append(found)
-    if not results:
-        return spark.createDataFrame([], FOUND)
-    out = results[0]
-    for r in results[1:]:
-        out = out.union(r)
+        out = found if out is None else out.union(found)
+    drop_table(encoded)
     return out

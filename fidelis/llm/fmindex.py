@@ -2,7 +2,8 @@
 
 Texts are arrays of symbols 1..sigma, each followed by the separator 0. Suffixes are ordered by their first
 32 symbols, which is exact for every search of at most ``cap`` < 32 symbols. Many queries are searched at
-once, one symbol of each per step.
+once, one symbol of each per step. Once built, the index holds the wavelet matrix, a byte per suffix (what it shares
+with the one before) and the least value of each run of suffixes that share ``cap`` symbols; no suffix array.
 """
 
 from __future__ import annotations
@@ -42,58 +43,55 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    def __init__(self, text: np.ndarray, sigma: int, cap: int) -> None:
-        """``text``: symbols with separators, ending in one. Searches see at most ``cap`` symbols."""
+    def __init__(self, text: np.ndarray, sigma: int, cap: int, values: np.ndarray | None = None) -> None:
+        """``text``: symbols with separators, ending in one. Searches see at most ``cap`` symbols; ``values``: one per place of the text."""
         if not 0 < cap < DEPTH:
             raise ValueError("cap must be under the suffixes' sorted depth")
         n = len(text)
+        if n >= 1 << 30:
+            raise ValueError("a shard is under 2^30 symbols")
         self.cap, self.n = cap, n
-        rank, self._ranks, h = text.astype(np.int64), [], 1
-        rank = np.unique(rank, return_inverse=True)[1].astype(np.int64)
-        self._ranks.append(rank)
-        while h < DEPTH:
-            key = rank * (n + 1)
+        rank = np.unique(text, return_inverse=True)[1].astype(np.int32)
+        ranks, h = [rank], 1  # by the first 1, 2, 4, 8, 16 symbols
+        while True:
+            key = rank * np.int64(n + 1)
             key[: n - h] += rank[h:] + 1
             order = np.argsort(key, kind="stable")
             key = key[order]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
             h *= 2
-            self._ranks.append(rank)
-        self.sa = np.argsort(rank, kind="stable")
-        self.bwt = WaveletMatrix(text[self.sa - 1], sigma)  # the text's end, a separator, precedes its start
+            if h == DEPTH:
+                break
+            rank = np.empty(n, np.int32)
+            rank[order] = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]]), dtype=np.int32)
+            ranks.append(rank)
+        self.bwt = WaveletMatrix(text[order - 1], sigma)  # the text's end, a separator, precedes its start
         self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=sigma + 1))])
-        self._blocks: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.lcp = np.zeros(n + 1, np.uint8)  # symbols that each suffix shares with the one before, up to DEPTH - 1
+        a, b, shared = order[:-1].copy(), order[1:].copy(), np.zeros(max(0, n - 1), np.uint8)
+        for level in range(len(ranks) - 1, -1, -1):
+            same = (np.maximum(a, b) < n) & (ranks[level][np.minimum(a, n - 1)] == ranks[level][np.minimum(b, n - 1)])
+            step = same * (1 << level)
+            a, b, shared = a + step, b + step, shared + step.astype(np.uint8)
+        self.lcp[1:n] = shared
+        self._begins: dict[int, np.ndarray] = {}
+        self.least = None if values is None else np.minimum.reduceat(values[order], self.begins(cap))
 
-    def _agree(self, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
-        """Whether the suffixes at a and b share their first ``depth`` symbols."""
-        level = depth.bit_length() - 1
-        rank, gap = self._ranks[level], depth - (1 << level)
-        fits = np.maximum(a, b) + gap < self.n
-        return fits & (rank[a] == rank[b]) & (rank[np.minimum(a + gap, self.n - 1)] == rank[np.minimum(b + gap, self.n - 1)])
+    def begins(self, depth: int) -> np.ndarray:
+        """Where the maximal runs of suffixes sharing ``depth`` symbols begin, and the end."""
+        if depth not in self._begins:
+            self._begins[depth] = np.flatnonzero(self.lcp[: self.n] < depth).astype(np.int32)
+        return self._begins[depth]
 
-    def blocks(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Block number of each suffix, and where blocks begin and end: maximal runs sharing ``depth`` symbols."""
-        if depth not in self._blocks:
-            new = np.concatenate([[True], ~self._agree(self.sa[:-1], self.sa[1:], depth)])
-            begin = np.flatnonzero(new)
-            self._blocks[depth] = (np.cumsum(new) - 1, begin, np.concatenate([begin[1:], [self.n]]))
-        return self._blocks[depth]
-
-    def _shared(self, lo: np.ndarray, hi: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Depth of the parent of each interval: the most symbols shared with a neighbour outside it."""
-        best = np.zeros(len(lo), np.int64)
-        for side, ok in ((np.maximum(lo - 1, 0), lo > 0), (np.minimum(hi, self.n - 1), hi < self.n)):
-            depth = np.zeros(len(lo), np.int64)
-            for d in range(1, self.cap + 1):
-                depth = np.where(ok & (depth == d - 1) & (d < length) & self._agree(self.sa[lo], self.sa[side], d), d, depth)
-            best = np.maximum(best, depth)
-        return best
+    def run(self, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number, begin and end of the run of ``depth`` that holds each suffix."""
+        begin = self.begins(depth)
+        which = np.searchsorted(begin, at, side="right") - 1
+        return which, begin[which], np.where(which + 1 < len(begin), begin[np.minimum(which + 1, len(begin) - 1)], self.n)
 
     def matching_statistics(self, query: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each position of the concatenated queries (each up to its entry of ``ends``): the length, at most
         ``cap``, of the longest match that starts there, and its suffix interval. Symbols not of the index: 0."""
-        length, low, high = (np.zeros(len(query), np.int64) for _ in range(3))
+        length, low, high = np.zeros(len(query), np.uint8), np.zeros(len(query), np.int32), np.zeros(len(query), np.int32)
         starts = np.concatenate([[0], ends[:-1]])
         order = np.argsort(starts - ends, kind="stable")  # longest first: those that go on are a prefix
         at, stop = ends[order] - 1, starts[order]
@@ -113,20 +111,14 @@ class FMIndex:
                 todo = todo[~ok]
                 todo = todo[m[todo] > 0]
                 if len(todo):  # shorten the match from its right end to its parent, and try again
-                    m[todo] = self._shared(lo[todo], hi[todo], m[todo])
-                    for d in np.unique(m[todo]):
+                    m[todo] = np.minimum(np.maximum(self.lcp[lo[todo]], self.lcp[hi[todo]]), m[todo])
+                    for d in np.unique(m[todo]).tolist():
                         some = todo[m[todo] == d]
-                        if d:
-                            which, begin, end = self.blocks(int(d))
-                            block = which[lo[some]]
-                            lo[some], hi[some] = begin[block], end[block]
-                        else:
-                            lo[some], hi[some] = 0, self.n
+                        lo[some], hi[some] = self.run(lo[some], d)[1:] if d else (0, self.n)
             long = np.flatnonzero(m2 > self.cap)
             if len(long):
-                which, begin, end = self.blocks(self.cap)
-                block = which[lo2[long]]
-                lo2[long], hi2[long], m2[long] = begin[block], end[block], self.cap
+                lo2[long], hi2[long] = self.run(lo2[long], self.cap)[1:]
+                m2[long] = self.cap
             length[at], low[at], high[at] = m2, lo2, hi2
             lo, hi, m, at = lo2, hi2, m2, at - 1
             live = int((at >= stop).sum())

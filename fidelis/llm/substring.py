@@ -5,15 +5,17 @@ Consecutive windows with the same minimizer occurrence form a stretch, and equal
 stretches with equal minimizer, so shards are made by minimizer and no pair of equal windows is split.
 
 1. Every document is cut into stretches (minimizer, identity of the stretch's text, place). Equal stretches
-   of one batch collapse to the earliest; the others' windows all occur earlier.
-2. By minimizer and text: equal stretches of different batches collapse likewise. What stands alone under its
+   of one task's documents collapse to the earliest; the others' windows all occur earlier.
+2. By minimizer and text: equal stretches of different tasks collapse likewise. What stands alone under its
    minimizer repeats nowhere. The rest, each distinct text once, is asked for.
 3. Documents give the asked texts, which are gathered by minimizer into shards of bounded size. A shard gets
    a compressed FM-index; its texts are streamed against it, right to left, for matching statistics. Where
-   the match reaches ``window`` words, its suffix interval holds every occurrence, hence the earliest.
+   the match reaches ``window`` words, its suffix interval's least place is the earliest occurrence.
 4. Documents are joined with their marked windows and the words under them are removed.
 
-Stretches under a crowded minimizer are taken apart into single windows, dealt by the window itself.
+Stretches under a crowded minimizer are taken apart into single windows, which collapse to the earliest within a task's
+documents, are dealt by the window and settled by their minimum. Equal texts and single windows are told by
+two 64-bit hashes, the minimizer's and their own.
 """
 
 from __future__ import annotations
@@ -36,8 +38,10 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _POSITION = np.uint64((1 << 24) - 1)
 #: Words of a shard's texts after which it is closed, and distinct stretches that make a minimizer crowded.
-SHARD_WORDS = 400_000
-CROWDED = 20_000
+SHARD_WORDS = 200_000
+CROWDED = 400
+#: Words of documents whose stretches, or whose asked texts, are held at once.
+_WORDS_AT_ONCE = 1_000_000
 MARK, ASK, ASK_APART = 0, 1, 2
 
 
@@ -98,22 +102,30 @@ def _numbered(docs: DataFrame, others: list[str]) -> DataFrame:
 
 
 def _first_pass(docs: DataFrame, window: int, gram: int) -> DataFrame:
+    def solve(rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        key, same, uid, first, count = (np.concatenate(c) for c in zip(*rows, strict=True))
+        order = np.lexsort((first, uid, same, key))
+        key, same, uid, first, count = key[order], same[order], uid[order], first[order], count[order]
+        later = np.concatenate([[False], (key[1:] == key[:-1]) & (same[1:] == same[:-1])])[: len(key)]
+        # a later copy needs no minimizer any more: it is dealt by its place
+        key = np.where(later, _mix(uid.astype(np.uint64) * _P + first.astype(np.uint64)), key)
+        arrays = [pa.array(key.view(np.int64)), pa.array(same.view(np.int64)), pa.array(uid), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int16)), pa.array(later)]
+        return pa.RecordBatch.from_arrays(arrays, ["key", "same", "uid", "first", "count", "later"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[np.ndarray, ...]] = []
+        held = 0
         for batch in batches:
-            rows: list[tuple[np.ndarray, ...]] = []
             for uid, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                key, same, first, count = stretches((text.as_py() or b"").split(), window, gram)
+                words = (text.as_py() or b"").split()
+                key, same, first, count = stretches(words, window, gram)
                 rows.append((key, same, np.full(len(key), uid, np.int64), first, count))
-            if not rows:
-                continue
-            key, same, uid, first, count = (np.concatenate(c) for c in zip(*rows, strict=True))
-            order = np.lexsort((first, uid, same, key))
-            key, same, uid, first, count = key[order], same[order], uid[order], first[order], count[order]
-            later = np.concatenate([[False], (key[1:] == key[:-1]) & (same[1:] == same[:-1])])[: len(key)]
-            # a later copy needs no minimizer any more: it is dealt by its place
-            key = np.where(later, _mix(uid.astype(np.uint64) * _P + first.astype(np.uint64)), key)
-            arrays = [pa.array(key.view(np.int64)), pa.array(same.view(np.int64)), pa.array(uid), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int16)), pa.array(later)]
-            yield pa.RecordBatch.from_arrays(arrays, ["key", "same", "uid", "first", "count", "later"])
+                held += len(words)
+                if held > _WORDS_AT_ONCE:
+                    yield solve(rows)
+                    rows, held = [], 0
+        if rows:
+            yield solve(rows)
 
     return docs.select("uid", "text").mapInArrow(run, "key long, same long, uid long, first int, count short, later boolean")
 
@@ -161,43 +173,65 @@ def _by_minimizer(rows: DataFrame) -> DataFrame:
     return dealt.join(often, "key", "left").where(~asked | F.col("texts").isNotNull()).select(kind.alias("kind"), "key", "uid", "first", "count")
 
 
+TEXTS = "kind byte, key long, uid long, first int, words binary"
+
+
 def _texts(docs: DataFrame, asked: DataFrame, window: int) -> DataFrame:
-    """The words of the asked stretches, keyed by minimizer, or by window where the minimizer is crowded."""
+    """(kind, key, uid, first, words): the words of the asked stretches, keyed by minimizer. Under a crowded minimizer
+    single windows without words, keyed by minimizer and window: the earliest of a task's documents, marks for the others."""
     wanted = asked.groupBy("uid").agg(F.collect_list(F.struct("kind", "key", "first", "count")).alias("asks"))
 
+    def windows(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        key, uid, first = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.lexsort((first, uid, key))
+        key, uid, first = key[order], uid[order], first[order]
+        later = np.concatenate([[False], key[1:] == key[:-1]])
+        key = np.where(later, _mix(uid.astype(np.uint64) * _P + first.astype(np.uint64)), key)
+        kind = np.where(later, MARK, ASK_APART).astype(np.int8)
+        return pa.RecordBatch.from_arrays([*(pa.array(x) for x in (kind, key.view(np.int64), uid, first.astype(np.int32))), pa.nulls(len(key), pa.binary())], names)
+
+    def texts(out: list[list]) -> pa.RecordBatch:
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(out[0]), ASK, np.int8)), *(pa.array(o, t) for o, t in zip(out, types, strict=True))], names)
+
+    names = ["kind", "key", "uid", "first", "words"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
+        out: list[list] = [[], [], [], []]
+        size, apart, n_apart = 0, [], 0
         for batch in batches:
-            out: list[list] = [[], [], [], []]
-            size = 0
-            for uid, text, asks in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            asks = batch.column(2)
+            kinds, keys, firsts, counts = (c.to_numpy() for c in asks.flatten().flatten())
+            ends = asks.offsets.to_numpy() - asks.offsets[0].as_py()
+            for i, (uid, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
+                own = slice(ends[i], ends[i + 1])
                 words = unpack.decompress(text.as_py()).split()
-                rolling = None
-                for a in asks:
-                    first, count = a["first"], a["count"]
-                    if a["kind"] == ASK:
-                        found = [(a["key"], first, b" ".join(words[first : first + count - 1 + window]))]
-                    else:
-                        rolling = rolling or _Rolling(words)
-                        places = np.arange(first, first + count)
-                        own = rolling.ranges(places, places + window).view(np.int64).tolist()
-                        found = [(k, p, b" ".join(words[p : p + window])) for k, p in zip(own, places.tolist(), strict=True)]
-                    for k, p, t in found:
-                        for o, v in zip(out, (k, uid, p, t), strict=True):
-                            o.append(v)
-                        size += len(t)
+                kind, key, first, count = kinds[own], keys[own], firsts[own].astype(np.int64), counts[own].astype(np.int64)
+                whole = kind == ASK
+                for k, f, c in zip(key[whole].tolist(), first[whole].tolist(), count[whole].tolist(), strict=True):
+                    found = b" ".join(words[f : f + c - 1 + window])
+                    for o, v in zip(out, (k, uid, f, found), strict=True):
+                        o.append(v)
+                    size += len(found)
                 if size > 8 << 20:
-                    yield _text_batch(out)
+                    yield texts(out)
                     out, size = [[], [], [], []], 0
-            if out[0]:
-                yield _text_batch(out)
-
-    return docs.join(wanted, "uid").select("uid", "packed", "asks").mapInArrow(run, "key long, uid long, first int, words binary")
-
-
-def _text_batch(out: list[list]) -> pa.RecordBatch:
-    types = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, types, strict=True)], ["key", "uid", "first", "words"])
+                if not whole.all():
+                    key, first, count = key[~whole], first[~whole], count[~whole]
+                    places = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+                    mine = _mix(np.repeat(key.view(np.uint64), count) * _P + _Rolling(words).ranges(places, places + window))
+                    apart.append((mine, np.full(len(mine), uid, np.int64), places))
+                    n_apart += len(mine)
+                    if n_apart > _WORDS_AT_ONCE:
+                        yield windows(apart)
+                        apart, n_apart = [], 0
+        if out[0]:
+            yield texts(out)
+        if apart:
+            yield windows(apart)
+
+    return docs.join(wanted, "uid").select("uid", "packed", "asks").mapInArrow(run, TEXTS)
 
 
 def repeated_windows(texts: list[list[bytes]], uid: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -208,15 +242,13 @@ def repeated_windows(texts: list[list[bytes]], uid: np.ndarray, first: np.ndarra
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     bounds = np.cumsum(sizes + 1)
     query[bounds - 1] = 0
-    index = FMIndex(query, int(query.max()), window)
-    length, low, _ = index.matching_statistics(query, bounds)
     owner = np.repeat(np.arange(len(texts)), sizes + 1)
     offset = np.arange(len(query)) - np.repeat(bounds - sizes - 1, sizes + 1)
-    number = np.unique(uid, return_inverse=True)[1]
-    place = number[owner] << 32 | (first[owner].astype(np.int64) + offset)
-    which, begin, _ = index.blocks(window)
-    earliest = np.minimum.reduceat(place[index.sa], begin)
-    hit = np.flatnonzero((length >= window) & (earliest[which[low]] < place))
+    place = np.unique(uid, return_inverse=True)[1][owner] << 32 | (first[owner].astype(np.int64) + offset)
+    index = FMIndex(query, int(query.max()), window, place)
+    length, low, _ = index.matching_statistics(query, bounds)
+    hit = np.flatnonzero(length >= window)
+    hit = hit[index.least[index.run(low[hit], window)[0]] < place[hit]]
     if not len(hit):
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     run = np.flatnonzero(np.concatenate([[True], np.diff(hit) != 1]))
@@ -224,33 +256,58 @@ def repeated_windows(texts: list[list[bytes]], uid: np.ndarray, first: np.ndarra
 
 
 def _search(texts: DataFrame, window: int) -> DataFrame:
+    """(uid, first, count): the windows that start earlier; marks as they are, single windows but each's earliest, and
+    what the shards' indexes find."""
+    names = ["uid", "first", "count"]
+
+    def alone(uid: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(uid), pa.array(first), pa.array(np.ones(len(uid), np.int32))], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, int, list[bytes]]] = []
-        size = 0
+        size, last = 0, None
 
         def solve() -> pa.RecordBatch:
             found = repeated_windows([h[3] for h in held], np.array([h[1] for h in held], np.int64), np.array([h[2] for h in held], np.int64), window)
-            return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1].astype(np.int32)), pa.array(found[2].astype(np.int32))], ["uid", "first", "count"])
-
-        for batch in batches:
-            for key, uid, first, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size > SHARD_WORDS and held[-1][0] != key:
+            return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1].astype(np.int32)), pa.array(found[2].astype(np.int32))], names)
+
+        for batch in batches:  # by kind, then by key and place
+            kind = batch.column(0).to_numpy()
+            key, uid, first = (c.to_numpy() for c in batch.columns[1:4])
+            marked = kind == MARK
+            if marked.any():
+                yield alone(uid[marked], first[marked])
+            at = np.flatnonzero(kind == ASK_APART)
+            if len(at):
+                later = key[at] == np.concatenate([[key[at[0]] if last == key[at[0]] else ~key[at[0]]], key[at[:-1]]])
+                last = key[at[-1]]
+                yield alone(uid[at[later]], first[at[later]])
+            for i in np.flatnonzero(kind == ASK).tolist():
+                if size > SHARD_WORDS and held[-1][0] != key[i]:
                     yield solve()
                     held, size = [], 0
-                held.append((key, uid, first, words.split()))
+                held.append((key[i], uid[i], first[i], batch.column(4)[i].as_py().split()))
                 size += len(held[-1][3]) + 1
         if held:
             yield solve()
 
-    return texts.repartition("key").sortWithinPartitions("key").mapInArrow(run, "uid long, first int, count int")
+    return texts.repartition("key").sortWithinPartitions("kind", "key", "uid", "first").mapInArrow(run, "uid long, first int, count int")
 
 
-def _kept(words: list[bytes], marks: list[dict] | None, window: int) -> np.ndarray:
+def _kept(words: list[bytes], first: np.ndarray, count: np.ndarray, window: int) -> list[bytes]:
     cover = np.zeros(len(words) + 1, np.int32)
-    for m in marks or ():
-        cover[m["first"]] += 1
-        cover[m["first"] + m["count"] - 1 + window] -= 1
-    return np.cumsum(cover[:-1]) == 0
+    np.add.at(cover, first, 1)
+    np.add.at(cover, first + count - 1 + window, -1)
+    return [words[i] for i in np.flatnonzero(np.cumsum(cover[:-1]) == 0).tolist()]
+
+
+def _marks(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(first, count) of each row's marks."""
+    first, count = (c.to_numpy() for c in column.flatten().flatten())
+    at = 0
+    for n in column.value_lengths().fill_null(0).to_pylist():
+        yield first[at : at + n], count[at : at + n]
+        at += n
 
 
 def marked_documents(docs: DataFrame, window: int = 20, gram: int = 5, others: list[str] | None = None) -> DataFrame:
@@ -293,16 +350,12 @@ def deduplicate(docs: DataFrame, window: int = 20, gram: int = 5, keep_text: boo
             for lo in range(0, batch.num_rows, 2000):
                 part = batch.slice(lo, 2000)
                 out: list[list] = [[], [], [], [], []]
-                for doc_id, text, marks in zip(part.column(0).to_pylist(), part.column(1), part.column(2).to_pylist(), strict=True):
+                for doc_id, text, (first, count) in zip(part.column(0).to_pylist(), part.column(1), _marks(part.column(2)), strict=True):
                     raw = unpack.decompress(text.as_py())
                     words = raw.split()
-                    if marks:
-                        keep = _kept(words, marks, window)
-                        kept = [words[i] for i in np.flatnonzero(keep).tolist()]
-                    else:
-                        kept = words
+                    kept = _kept(words, first, count, window) if len(first) else words
                     joined = b" ".join(kept)
-                    row = (doc_id, len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), (joined if marks else raw) if keep_text else None)
+                    row = (doc_id, len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), (joined if len(first) else raw) if keep_text else None)
                     for o, v in zip(out, row, strict=True):
                         o.append(v)
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
@@ -325,11 +378,10 @@ def without_repeats(docs: DataFrame, window: int = 20, gram: int = 5) -> DataFra
             for lo in range(0, batch.num_rows, 2000):
                 part = batch.slice(lo, 2000)
                 texts = []
-                for text, marks in zip(part.column(1), part.column(2).to_pylist(), strict=True):
+                for text, (first, count) in zip(part.column(1), _marks(part.column(2)), strict=True):
                     raw = unpack.decompress(text.as_py())
-                    if marks:
-                        words = raw.split()
-                        raw = b" ".join([words[i] for i in np.flatnonzero(_kept(words, marks, window)).tolist()])
+                    if len(first):
+                        raw = b" ".join(_kept(raw.split(), first, count, window))
                     texts.append(raw)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.binary()), *part.columns[3:]], ["doc_id", "text", *names])
 

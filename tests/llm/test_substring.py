@@ -38,7 +38,7 @@ def make(rng, n_docs):
     return docs
 
 
-@pytest.mark.parametrize("crowded", [20_000, 3])
+@pytest.mark.parametrize("crowded", [20_000, 400, 3])
 def test_dedup_against_brute_force(spark, monkeypatch, crowded):
     monkeypatch.setattr(substring, "CROWDED", crowded)
     monkeypatch.setattr(substring, "SHARD_WORDS", 500)

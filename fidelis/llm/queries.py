@@ -97,12 +97,10 @@ ORACLE_SQL: dict[str, str] = {
         WITH d AS (SELECT doc_id, doc_id % 2 AS f, CAST(doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS INTEGER) AS c,
                 list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
         word AS (SELECT doc_id, f, c, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM d),
-        wc AS (SELECT w, count(*) AS n FROM word GROUP BY w), level AS (SELECT n, sum(count(*)) OVER (ORDER BY n DESC) AS held FROM wc GROUP BY n),
-        vocab AS (SELECT w FROM wc JOIN level USING (n) WHERE held <= 262144),
-        tok AS (SELECT doc_id, f, c, i, coalesce(v.w, ' unknown') AS w FROM word LEFT JOIN vocab v ON v.w = word.w UNION ALL SELECT doc_id, f, c, len(ws), ' end' FROM d),
+        tok AS (SELECT doc_id, f, c, i, w FROM word UNION ALL SELECT doc_id, f, c, len(ws), ' end' FROM d),
         pair AS (SELECT *, coalesce(lag(w) OVER (PARTITION BY doc_id ORDER BY i), ' start') AS h FROM tok),
         big AS (SELECT f, c, h, w, count(*) AS n FROM pair GROUP BY ALL), uni AS (SELECT f, c, w, count(*) AS n FROM pair GROUP BY ALL),
-        ctx AS (SELECT f, c, h, count(*) AS n FROM pair GROUP BY ALL), tot AS (SELECT f, c, count(*) AS n FROM pair GROUP BY ALL), size AS (SELECT count(*) + 2 AS v FROM vocab),
+        ctx AS (SELECT f, c, h, count(*) AS n FROM pair GROUP BY ALL), tot AS (SELECT f, c, count(*) AS n FROM pair GROUP BY ALL), size AS (SELECT count(DISTINCT w) + 1 AS v FROM tok),
         class AS (SELECT unnest([0, 1]) AS k),
         loss AS (SELECT p.doc_id, k, count(*) AS n_tokens,
                     avg(-ln((coalesce(big.n, 0) + 50.0 * (coalesce(uni.n, 0) + 1) / (coalesce(tot.n, 0) + v)) / (coalesce(ctx.n, 0) + 50.0))) AS loss

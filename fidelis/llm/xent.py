@@ -4,13 +4,15 @@ Two word bigram models with the same vocabulary, order and smoothing are counted
 the target's, one over the others'. Documents fall into two folds (even and odd doc_id), and each is scored by the counts of the other
 fold, so that no document judges itself. With Dirichlet smoothing towards smoothed unigrams,
 
-    p(w | h) = (c(h w) + mu p(w)) / (c(h) + mu),     p(w) = (c(w) + 1) / (N + V).
+    p(w | h) = (c(h w) + mu p(w)) / (c(h) + mu),     p(w) = (c(w) + 1) / (N + V),
 
+where V counts the corpus's words, the end of a document and one place for words that nobody has.
 A document's score is its mean loss per token under the target model minus that under the background model.
 
-Words are 64-bit hashes; the vocabulary holds the most frequent, at most ``vocabulary`` of them, others are one
-unknown word. Pairs of the ``head`` most frequent words have a table of fixed size; all other pairs are dealt by
-the pair, packed, and counted and scored where they meet, so that no frequent pair gathers in one task.
+The vocabulary is every word of the corpus, and nothing of it is held by the driver. Words and pairs are 64-bit hashes. Documents
+are gathered into chunks of bounded size; a chunk asks for each of its distinct words and pairs once, with its own counts,
+from the part that the hash belongs to. Parts add up the counts and answer every chunk, which then scores its
+documents by itself. So a frequent pair costs a number per chunk, and what is exchanged is in proportion to the tokens.
 """
 
 from __future__ import annotations
@@ -28,9 +30,15 @@ from pyspark.sql import functions as F
 
 from .common import persist_table
 
-UNKNOWN, END, START, FIRST = 0, 1, 2, 3
-_BITS = np.uint64(24)
-_SALT = np.uint64(0x9E3779B97F4A7C15)
+#: Hashes of a document's end, a token like any other, and of what precedes its first word.
+END, START = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
+_P = np.uint64(0x9E3779B97F4A7C15)
+#: Tokens after which a chunk of documents is closed, and keys that a part holds on average.
+CHUNK_TOKENS = 1_000_000
+PART_KEYS = 1_000_000
+WORD, PAIR = 0, 1
+CHUNKS = "chunk long, doc_ids array<long>, grps array<int>, sizes array<int>, words binary, ids binary"
+ASKED = "part long, chunk long, kind byte, n long, data binary"
 
 
 def _words(text: bytes | None) -> np.ndarray:
@@ -38,71 +46,10 @@ def _words(text: bytes | None) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(3)), np.uint64, len(words))
 
 
-def _unigrams(docs: DataFrame) -> DataFrame:
-    """(word, c0..c3): counts by fold and class, added up per batch before they are dealt."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            group = batch.column(2).to_numpy()
-            words = [_words(t.as_py()) for t in batch.column(1)]
-            owner = np.repeat(group, [len(w) for w in words])
-            if not len(owner):
-                continue
-            keys, where = np.unique(np.concatenate(words), return_inverse=True)
-            counts = np.bincount(where * 4 + owner, minlength=4 * len(keys)).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(pa.array(counts[:, i]) for i in range(4))], ["word", "c0", "c1", "c2", "c3"])
-
-    by_batch = docs.mapInArrow(run, "word long, c0 long, c1 long, c2 long, c3 long")
-    return by_batch.groupBy("word").agg(*(F.sum(f"c{i}").alias(f"c{i}") for i in range(4)))
-
-
-class Vocabulary:
-    """Ids by falling frequency from FIRST, and unigram counts of each fold and class."""
-
-    def __init__(self, words: np.ndarray, counts: np.ndarray, totals: np.ndarray, n_docs: np.ndarray) -> None:
-        order = np.lexsort((words, -counts.sum(1)))
-        words, counts = words[order], counts[order]
-        rest = totals - counts.sum(0)
-        self.counts = np.concatenate([[rest, n_docs, n_docs], counts]).astype(np.int64)
-        by_hash = np.argsort(words)
-        self.words, self.ids = words[by_hash], (by_hash + FIRST).astype(np.int32)
-        seen = self.counts.copy()
-        seen[START] = 0
-        size = len(seen) - 1
-        self.unigram = (seen + 1) / (seen.sum(0) + size)
-
-    def encode(self, words: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.zeros(len(words), np.int32)
-        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        return np.where(self.words[at] == words, self.ids[at], UNKNOWN).astype(np.int32)
-
-    def losses(self, h: np.ndarray, w: np.ndarray, fold: np.ndarray, pair: np.ndarray, mu: float) -> tuple[np.ndarray, np.ndarray]:
-        """Target and background losses of pairs, each by the other fold's counts; ``pair``: counts of fold and class."""
-        out = []
-        for target in (1, 0):
-            column = (1 - fold) * 2 + target
-            both = np.take_along_axis(pair, column[:, None], 1)[:, 0]
-            out.append(-np.log((both + mu * self.unigram[w, column]) / (self.counts[h, column] + mu)))
-        return out[0], out[1]
-
-
-def _train_vocabulary(docs: DataFrame, size: int) -> Vocabulary:
-    counted = persist_table(_unigrams(docs), "unigrams").withColumn("n", F.expr("c0 + c1 + c2 + c3"))
-    by_count = counted.groupBy("n").count()
-    # the least count whose words all fit, found from a running sum over few distinct counts
-    heavy = by_count.selectExpr("least(n, 1000000) as n", "count").groupBy("n").agg(F.sum("count").alias("k")).collect()
-    least, held = 1, 0
-    for n, k in sorted(((r.n, r.k) for r in heavy), reverse=True):
-        held += k
-        if held > size:
-            least = n + 1
-            break
-    kept = counted.where(F.col("n") >= least).select("word", "c0", "c1", "c2", "c3").toPandas()  # at most `size` rows
-    totals = np.array([v or 0 for v in counted.agg(*(F.sum(f"c{i}") for i in range(4))).first()], np.int64)
-    found = {r[0]: r[1] for r in docs.groupBy("grp").count().collect()}
-    n_docs = np.array([found.get(i, 0) for i in range(4)], np.int64)
-    return Vocabulary(kept["word"].to_numpy(np.int64).view(np.uint64), kept[["c0", "c1", "c2", "c3"]].to_numpy(np.int64).reshape(-1, 4), totals, n_docs)
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def _squeeze(*arrays: np.ndarray) -> bytes:
@@ -122,48 +69,126 @@ def _unsqueeze(data: bytes, n: int, *types: str) -> list[np.ndarray]:
     return out
 
 
-#: Tokens after which a chunk of documents is closed.
-CHUNK_TOKENS = 1_500_000
-CHUNKS = "chunk long, doc_ids array<long>, grps array<int>, sizes array<int>, ids binary"
+def _chunked(docs: DataFrame) -> DataFrame:
+    """Chunks of documents (doc_id, text, grp): their distinct words' hashes, and every token as a number among them; a
+    document of n words has n + 1 tokens, the last END."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, held, rows = 0, 0, []
 
-def _encoded(docs: DataFrame, shared) -> DataFrame:
-    """Chunks of documents as packed ids; a document of n words has n + 1 ids, the last END."""
+        def close() -> pa.RecordBatch:
+            words, ids = np.unique(np.concatenate([r[2] for r in rows]), return_inverse=True)
+            chunk = TaskContext.get().partitionId() << 32 | n
+            lists = [pa.array([[r[0] for r in rows]], pa.list_(pa.int64())), pa.array([[r[1] for r in rows]], pa.list_(pa.int32())), pa.array([[len(r[2]) for r in rows]], pa.list_(pa.int32()))]
+            packed = [pa.array([b], pa.binary()) for b in (words.tobytes(), _squeeze(ids.astype("<u4")))]
+            return pa.RecordBatch.from_arrays([pa.array([chunk]), *lists, *packed], ["chunk", "doc_ids", "grps", "sizes", "words", "ids"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, n = shared.value, 0
         for batch in batches:
-            ids: list[np.ndarray] = []
-            held = first = 0
-            for i, text in enumerate(batch.column(1)):
-                ids.append(np.append(vocabulary.encode(_words(text.as_py())), np.int32(END)))
-                held += len(ids[-1])
-                if held < CHUNK_TOKENS and i + 1 < batch.num_rows:
-                    continue
-                own = batch.slice(first, len(ids))
-                chunk = TaskContext.get().partitionId() << 32 | n
-                cols = [pa.array([chunk]), pa.array([own.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([own.column(2).to_pylist()], pa.list_(pa.int32())), pa.array([[len(x) for x in ids]], pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array([_squeeze(np.concatenate(ids))], pa.binary())], ["chunk", "doc_ids", "grps", "sizes", "ids"])
-                ids, held, first, n = [], 0, i + 1, n + 1
+            for doc_id, text, grp in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                rows.append((doc_id, grp, np.append(_words(text.as_py()), END)))
+                held += len(rows[-1][2])
+                if held >= CHUNK_TOKENS:
+                    yield close()
+                    n, held, rows = n + 1, 0, []
+        if rows:
+            yield close()
 
     return docs.mapInArrow(run, CHUNKS)
 
 
-def _pairs(sizes: np.ndarray, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(history, word, document index) of a chunk's tokens."""
-    (word,) = _unsqueeze(data, int(sizes.sum()), "<i4")
-    history = np.concatenate([[START], word[:-1]]).astype(np.int32) if len(word) else word
-    history[np.cumsum(sizes)[:-1]] = START
-    return history, word, np.repeat(np.arange(len(sizes)), sizes)
+class Chunk:
+    """A chunk's tokens, and its distinct words and pairs in the order in which parts are asked for them."""
+
+    def __init__(self, grps: list[int], sizes: list[int], words: bytes, ids: bytes, parts: int) -> None:
+        self.sizes = np.array(sizes, np.int64)
+        self.doc = np.repeat(np.arange(len(sizes)), sizes)
+        self.grps = np.array(grps, np.int64)
+        hashes = np.append(np.frombuffer(words, np.uint64), START)
+        self.word = _unsqueeze(ids, int(self.sizes.sum()), "<u4")[0].astype(np.int64)
+        self.history = np.concatenate([[len(hashes) - 1], self.word[:-1]])
+        self.history[np.cumsum(self.sizes)[:-1]] = len(hashes) - 1
+        distinct, self.pair = np.unique(self.history * len(hashes) + self.word, return_inverse=True)
+        pairs = _mix(hashes[distinct // len(hashes)] * _P + hashes[distinct % len(hashes)])
+        self.asked = []
+        for hashed, token in ((hashes[:-1], self.word), (pairs, self.pair)):
+            part = (_mix(hashed + _P) >> np.uint64(24)).astype(np.int64) % parts
+            self.asked.append((hashed, part, np.lexsort((hashed, part)), token))
+
+    def requests(self) -> Iterator[tuple[int, int, int, bytes]]:
+        """(part, kind, number, data) for each part that holds some of the words or pairs: hashes and own counts."""
+        for kind, (hashed, part, order, token) in enumerate(self.asked):
+            counts = np.bincount(token * 4 + self.grps[self.doc], minlength=4 * len(hashed)).reshape(-1, 4).astype("<u4")[order]
+            hashed, part = hashed[order], part[order]
+            first = np.flatnonzero(np.diff(part, prepend=-1))
+            gaps = np.diff(hashed, prepend=np.uint64(0))
+            gaps[first] = hashed[first]
+            for a, b in zip(first.tolist(), [*first[1:].tolist(), len(part)], strict=True):
+                yield int(part[a]), kind, b - a, _squeeze(gaps[a:b], *counts[a:b].T)
+
+    def answered(self, kind: int, answers: list[tuple[int, int, bytes]]) -> np.ndarray:
+        """Counts by fold and class of each word or pair, from the answers (part, number, data)."""
+        hashed, _, order, _ = self.asked[kind]
+        out = np.empty((len(hashed), 4), np.int64)
+        out[order] = np.concatenate([np.stack(_unsqueeze(data, n, *["<u8"] * 4), axis=1) for _, n, data in sorted(answers)]).astype(np.int64)
+        return out
+
+
+def _requests(chunks: DataFrame, parts: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                chunk, *rest = (batch.column(k)[i].as_py() for k in range(5))
+                rows = list(Chunk(*rest, parts).requests())
+                cols = zip(*rows, strict=True)
+                part, kind, n, data = (pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int8(), pa.int64(), pa.binary()), strict=True))
+                yield pa.RecordBatch.from_arrays([part, pa.array([chunk] * len(rows)), kind, n, data], ["part", "chunk", "kind", "n", "data"])
+
+    return chunks.select("chunk", "grps", "sizes", "words", "ids").mapInArrow(run, ASKED)
+
 
+def _answers(requests: DataFrame) -> DataFrame:
+    """Each request's keys with the counts of all chunks; and per part, without a chunk, how many different words it holds."""
 
-def score(docs: DataFrame, target: DataFrame, vocabulary: int = 1 << 18, head: int = 512, mu: float = 50.0, broadcast_rows: int = 2_000_000) -> DataFrame:
+    def meet(t: pa.Table) -> pa.Table:
+        out: dict[str, list] = {f: [] for f in ("part", "chunk", "kind", "n", "data")}
+
+        def add(*row) -> None:
+            for c, v in zip(out.values(), row, strict=True):
+                c.append(v)
+
+        part = t.column("part")[0].as_py()
+        for kind in (WORD, PAIR):
+            some = t.filter(pa.compute.equal(t.column("kind"), kind))
+            if not some.num_rows:
+                continue
+            sizes, keys, counts = some.column("n").to_pylist(), [], []
+            for n, data in zip(sizes, some.column("data"), strict=True):
+                gaps, *own = _unsqueeze(data.as_py(), n, "<u8", *["<u4"] * 4)
+                keys.append(np.cumsum(gaps, dtype=np.uint64))
+                counts.append(np.stack(own, axis=1))
+            known, at = np.unique(np.concatenate(keys), return_inverse=True)
+            own = np.concatenate(counts)
+            total = np.stack([np.bincount(at, own[:, i], len(known)) for i in range(4)], axis=1).astype("<u8")
+            begin = 0
+            for n, chunk in zip(sizes, some.column("chunk").to_pylist(), strict=True):
+                add(part, chunk, kind, n, _squeeze(*total[at[begin : begin + n]].T))
+                begin += n
+            if kind == WORD:
+                add(part, None, kind, len(known), None)
+        types = (pa.int64(), pa.int64(), pa.int8(), pa.int64(), pa.binary())
+        return pa.table([pa.array(c, t) for c, t in zip(out.values(), types, strict=True)], names=list(out))
+
+    return requests.groupBy("part").applyInArrow(meet, ASKED)
+
+
+def score(docs: DataFrame, target: DataFrame, mu: float = 50.0, broadcast_rows: int = 2_000_000) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, score for every row of ``docs`` (doc_id, text).
 
     ``target`` holds the doc_ids of the target corpus (nulls and repeats count for nothing). Losses are nats per
     token over the words, lower-cased A-Z, and the end of the document; null and empty texts have one token.
     Repeated rows are documents of their own; a null doc_id belongs to the background. A lower score is closer to
-    the target. Without target documents its model is uniform but for smoothing. Other columns are ignored.
+    the target. Without target documents its model is uniform but for smoothing. An empty table gives an empty
+    result; other columns are ignored.
     """
     spark = docs.sparkSession
     ids = target.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("hit", F.lit(1))
@@ -173,90 +198,32 @@ def score(docs: DataFrame, target: DataFrame, vocabulary: int = 1 << 18, head: i
     own = own.join(F.broadcast(ids) if few else ids, "doc_id", "left")
     fold = F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(2)).cast("int")
     own = own.select("doc_id", "text", (fold * 2 + F.coalesce("hit", F.lit(0))).alias("grp"))
-    known = _train_vocabulary(own, vocabulary)
-    shared = spark.sparkContext.broadcast(known)  # at most `vocabulary` words
-    chunks = persist_table(_encoded(own, shared), "chunks")
-
-    def head_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros((head * head, 4), np.int64)
-        for batch in batches:
-            for grps, sizes, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                h, w, doc = _pairs(np.array(sizes), data.as_py())
-                at = np.flatnonzero((h < head) & (w < head))
-                cells += np.bincount((h[at].astype(np.int64) * head + w[at]) * 4 + np.array(grps)[doc[at]], minlength=cells.size).reshape(cells.shape)
-        full = np.flatnonzero(cells.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(full), *(pa.array(cells[full, i]) for i in range(4))], ["cell", "c0", "c1", "c2", "c3"])
-
-    counted = chunks.select("grps", "sizes", "ids").mapInArrow(head_counts, "cell long, c0 long, c1 long, c2 long, c3 long")
-    cells = counted.groupBy("cell").agg(*(F.sum(f"c{i}").alias(f"c{i}") for i in range(4))).toPandas()  # at most head^2 rows
-    table = np.zeros((head * head, 4), np.int64)
-    table[cells["cell"].to_numpy(np.int64)] = cells[["c0", "c1", "c2", "c3"]].to_numpy(np.int64).reshape(-1, 4)
-    table_shared = spark.sparkContext.broadcast(table)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + int(known.counts[[UNKNOWN, *range(FIRST, len(known.counts))]].sum()) // 1_500_000)
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunk, grps, sizes, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
-                h, w, doc = _pairs(np.array(sizes), data.as_py())
-                at = np.flatnonzero((h >= head) | (w >= head))
-                key = h[at].astype(np.uint64) << _BITS | w[at].astype(np.uint64)
-                part = (key * _SALT >> np.uint64(40)).astype(np.int64) % parts
-                order = np.lexsort((key, part))
-                key, part, doc = key[order], part[order], doc[at][order].astype("<u4")
-                step = np.diff(key, prepend=np.uint64(0))
-                cuts = np.searchsorted(part, np.arange(parts + 1))
-                grp = np.array(grps, np.uint8)
-                for p in np.flatnonzero(np.diff(cuts)).tolist():
-                    a, b = cuts[p], cuts[p + 1]
-                    gaps = step[a:b].copy()
-                    gaps[0] = key[a]
-                    cols = [pa.array([p]), pa.array([chunk]), pa.array([int(b - a)]), pa.array([len(sizes)])]
-                    yield pa.RecordBatch.from_arrays([*cols, pa.array([_squeeze(gaps, doc[a:b], grp[doc[a:b]])], pa.binary())], ["part", "chunk", "n", "docs", "data"])
-
-    def meet(t: pa.Table) -> pa.Table:
-        vocab = shared.value
-        rows = t.sort_by("chunk").select(["chunk", "n", "docs", "data"]).to_pylist()
-        keys, docs_in, grps = [], [], []
-        for r in rows:
-            gaps, doc, grp = _unsqueeze(r["data"], r["n"], "<u8", "<u4", "u1")
-            keys.append(np.cumsum(gaps, dtype=np.uint64))
-            docs_in.append(doc)
-            grps.append(grp)
-        grp = np.concatenate(grps).astype(np.int64)
-        pair, where = np.unique(np.concatenate(keys), return_inverse=True)
-        counts = np.bincount(where * 4 + grp, minlength=4 * len(pair)).reshape(-1, 4)
-        h, w = (pair >> _BITS).astype(np.int64), (pair & np.uint64((1 << 24) - 1)).astype(np.int64)
-        by_fold = [vocab.losses(h, w, np.full(len(pair), f), counts, mu) for f in (0, 1)]
-        fold, out, at = grp >> 1, [], 0
-        for r, doc in zip(rows, docs_in, strict=True):
-            mine, f = where[at : at + r["n"]], fold[at : at + r["n"]]
-            sums = [np.bincount(doc, np.where(f == 0, by_fold[0][k][mine], by_fold[1][k][mine]), minlength=r["docs"]) for k in (0, 1)]
-            out.append({"chunk": r["chunk"], "part": t.column("part")[0].as_py(), "sums": np.concatenate(sums).tobytes()})
-            at += r["n"]
-        return pa.Table.from_pylist(out, pa.schema([("chunk", pa.int64()), ("part", pa.int64()), ("sums", pa.binary())]))
-
-    dealt = chunks.select("chunk", "grps", "sizes", "ids").mapInArrow(deal, "part long, chunk long, n long, docs long, data binary")
-    sums = dealt.groupBy("part").applyInArrow(meet, "chunk long, part long, sums binary")
+    chunks = persist_table(_chunked(own), "chunks")
+    each = chunks.select(F.explode(F.arrays_zip("grps", "sizes")).alias("d")).groupBy("d.grps").agg(F.count("*").alias("docs"), F.sum(F.col("d.sizes").cast("long")).alias("tokens"))
+    n_docs, tokens = np.zeros(4, np.int64), np.zeros(4, np.int64)
+    for grp, d, t in each.collect():  # a row per fold and class
+        n_docs[grp], tokens[grp] = d, t
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + int(tokens.sum()) // PART_KEYS)
+    answers = persist_table(_answers(_requests(chunks, parts)), "answers")
+    size = answers.where("chunk is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] + 1  # a place for words that nobody has
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        vocab, cells_in = shared.value, table_shared.value
         out: list[list] = [[], [], [], []]
         for r in left.to_pylist():
-            sizes = np.array(r["sizes"])
-            h, w, doc = _pairs(sizes, r["ids"])
-            loss = np.zeros((2, len(sizes)))
-            for s in right.sort_by("part").column("sums").to_pylist() if right.num_rows else ():
-                loss += np.frombuffer(s).reshape(2, -1)
-            at = np.flatnonzero((h < head) & (w < head))
-            fold_of = np.array(r["grps"])[doc[at]] >> 1
-            code, where = np.unique((h[at].astype(np.int64) * head + w[at]) * 2 + fold_of, return_inverse=True)
-            cell, f = code >> 1, code & 1
-            for k, v in enumerate(vocab.losses(cell // head, cell % head, f, cells_in[cell], mu)):
-                loss[k] += np.bincount(doc[at], v[where], minlength=len(sizes))
-            for o, v in zip(out, (r["doc_ids"], sizes.tolist(), (loss[0] / sizes).tolist(), (loss[1] / sizes).tolist()), strict=True):
+            mine = Chunk(r["grps"], r["sizes"], r["words"], r["ids"], parts)
+            words, pairs = (mine.answered(k, [tuple(a.values()) for a in right.filter(pa.compute.equal(right.column("kind"), k)).select(["part", "n", "data"]).to_pylist()]) for k in (WORD, PAIR))
+            before = np.concatenate([words, n_docs[None]])  # what precedes a first word comes once a document
+            other = (1 - (mine.grps >> 1)) * 2
+            loss = []
+            for target_class in (1, 0):
+                column = (other + target_class)[mine.doc]
+                p = (words[mine.word, column] + 1) / (tokens[column] + size)
+                loss.append(np.bincount(mine.doc, -np.log((pairs[mine.pair, column] + mu * p) / (before[mine.history, column] + mu)), len(mine.sizes)) / mine.sizes)
+            for o, v in zip(out, (r["doc_ids"], r["sizes"], loss[0].tolist(), loss[1].tolist()), strict=True):
                 o.extend(v)
         types = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
         return pa.table([pa.array(o, t) for o, t in zip(out, types, strict=True)], ["doc_id", "n_tokens", "target_loss", "background_loss"])
 
-    done = chunks.groupBy("chunk").cogroup(sums.groupBy("chunk")).applyInArrow(finish, "doc_id long, n_tokens long, target_loss double, background_loss double")
+    asked = answers.where("chunk is not null").select("chunk", "part", "kind", "n", "data")
+    done = chunks.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(finish, "doc_id long, n_tokens long, target_loss double, background_loss double")
     return done.withColumn("score", F.col("target_loss") - F.col("background_loss"))

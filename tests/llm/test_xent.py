@@ -7,18 +7,11 @@ import pytest
 from fidelis.llm import xent
 
 
-def brute(rows, folds, target, size, mu):
-    """The formula with plain dictionaries; the vocabulary by whole levels of counts, as documented."""
+def brute(rows, folds, target, mu):
+    """The formula with plain dictionaries; the vocabulary is every word."""
     tokens = [(t or "").encode().lower().split() for _, t in rows]
-    total = Counter(w for ts in tokens for w in ts)
-    held, least = 0, 1
-    for n in sorted(set(total.values()), reverse=True):
-        held += sum(v == n for v in total.values())
-        if held > size:
-            least = n + 1
-            break
-    vocab = {w for w, n in total.items() if n >= least}
-    seqs = [[*(w if w in vocab else "<unk>" for w in ts), "</s>"] for ts in tokens]
+    vocab = {w for ts in tokens for w in ts}
+    seqs = [[*ts, "</s>"] for ts in tokens]
     uni, big, ctx = ({(f, c): Counter() for f in (0, 1) for c in (0, 1)} for _ in range(3))
     for (i, _), f, s in zip(rows, folds, seqs, strict=True):
         c = int(i in target)
@@ -38,9 +31,10 @@ def brute(rows, folds, target, size, mu):
     return out
 
 
-@pytest.mark.parametrize("size", [1000, 40])
-def test_against_brute_force(spark, monkeypatch, size):
-    monkeypatch.setattr(xent, "CHUNK_TOKENS", 300)
+@pytest.mark.parametrize(("chunk", "part"), [(300, 10**6), (40, 100)])
+def test_against_brute_force(spark, monkeypatch, chunk, part):
+    monkeypatch.setattr(xent, "CHUNK_TOKENS", chunk)
+    monkeypatch.setattr(xent, "PART_KEYS", part)
     rng = np.random.default_rng(7)
     words = [f"w{i}" for i in range(80)]
     weights = 1 / np.arange(1, 81)
@@ -49,14 +43,22 @@ def test_against_brute_force(spark, monkeypatch, size):
     df = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, score double").repartition(3).cache()
     target = [i for i in range(0, 90, 4)]
     marks = spark.createDataFrame([(i,) for i in [*target, None, 4, 4]], "doc_id long")
-    got = xent.score(df, marks, vocabulary=size, head=8, mu=5.0).collect()
-    want = sorted((i, *v) for (i, _), v in zip(rows, brute(rows, [i % 2 for i, _ in rows], set(target), size, 5.0), strict=True))
+    got = xent.score(df, marks, mu=5.0).collect()
+    want = sorted((i, *v) for (i, _), v in zip(rows, brute(rows, [i % 2 for i, _ in rows], set(target), 5.0), strict=True))
     have = sorted((r.doc_id, r.n_tokens, r.target_loss, r.background_loss) for r in got)
     assert len(have) == len(want)
     np.testing.assert_allclose(np.array(have, float), np.array(want, float), rtol=1e-9)
     assert all(r.score == r.target_loss - r.background_loss for r in got)
 
 
+def test_a_frequent_pair_is_asked_for_once_a_chunk():
+    words = np.array([5, 9], np.uint64)
+    ids = np.array([0, 1] * 500, "<u4")
+    asked = list(xent.Chunk([0, 3], [400, 600], words.tobytes(), xent._squeeze(ids), 4).requests())
+    assert sum(n for _, kind, n, _ in asked if kind == xent.WORD) == 2
+    assert sum(n for _, kind, n, _ in asked if kind == xent.PAIR) == 3  # start a, a b, b a
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(None, "a b"), (1, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long")

@@ -25,10 +25,10 @@ from .common import connected_components, persist_table
 from .simhash import _mix, shingle_hashes, unary, wide_fingerprints
 
 WORDS, CELLS, SEGMENTS = 6, 128, 8
-#: Differing bits of 64 and of all, about 3.5 standard deviations above what is expected at a similarity of 0.8.
-_NEAR, _NEAR_ALL = 20, 84
-#: Rows of a cell tested pairwise by shifts, and in blocks; in longer ones so many first rows are tried, and so many neighbours by length.
-_SMALL, _LARGE, _LEADERS, _NEIGHBOURS, _BLOCK = 64, 4096, 64, 16, 512
+#: Differing bits of the first 128 and of all, 3.4 to 4 standard deviations above what is expected at a similarity of 0.8.
+_NEAR, _NEAR_ALL = 36, 82
+#: Rows of a cell tested pairwise by shifts, and in blocks; in longer ones so many first rows are tried.
+_SMALL, _LARGE, _LEADERS, _BLOCK = 64, 4096, 64, 512
 
 
 def _draw() -> np.ndarray:
@@ -105,11 +105,11 @@ def _bounds(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.concatenate([starts, [len(keys)]]))
 
 
-def _close(n: np.ndarray, m: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
-    """Which of the rows (size n, fingerprint a; m, b) may have the similarity: sizes, the bound, the exact distance."""
+def _close(n: np.ndarray, m: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float, most: int) -> np.ndarray:
+    """Which of the rows (size n, words of the fingerprint a; m, b) may have the similarity: sizes, the bound, the exact distance."""
     ok = np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9
-    ok &= np.bitwise_count(unary(a) ^ unary(b)) <= _NEAR
-    return ok & (np.bitwise_count(a ^ b) <= _NEAR)
+    ok &= sum(np.bitwise_count(unary(x) ^ unary(y)).astype(np.int16) for x, y in zip(a, b, strict=True)) <= most
+    return ok & (sum(np.bitwise_count(x ^ y).astype(np.int16) for x, y in zip(a, b, strict=True)) <= most)
 
 
 def _first_near(n: np.ndarray, fp: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,7 +120,7 @@ def _first_near(n: np.ndarray, fp: np.ndarray, similarity: float) -> tuple[np.nd
         for j in range(0, k, _BLOCK):
             hi = min(j + _BLOCK, k)
             at = np.arange(j, hi)
-            near = _close(n[:hi, None], n[None, j:hi], fp[:hi, None], fp[None, j:hi], similarity) & (np.arange(hi)[:, None] < at)
+            near = _close(n[:hi, None], n[None, j:hi], fp[:, :hi, None], fp[:, None, j:hi], similarity, _NEAR) & (np.arange(hi)[:, None] < at)
             first = near.argmax(axis=0)
             found = np.flatnonzero(near.any(axis=0))
             head[at[found]] = first[found]
@@ -133,88 +133,88 @@ def _first_near(n: np.ndarray, fp: np.ndarray, similarity: float) -> tuple[np.nd
         for _ in range(_LEADERS):
             if len(left) < 2:
                 break
-            near = _close(n[left[0]], n[left[1:]], fp[left[0]], fp[left[1:]], similarity)
+            near = _close(n[left[0]], n[left[1:]], fp[:, left[0]], fp[:, left[1:]], similarity, _NEAR)
             head[left[1:][near]] = left[0]
             left = left[1:][~near]
     at = np.flatnonzero(head >= 0)
     return at, head[at], np.flatnonzero(more)
 
 
-def _candidates(heads: DataFrame, similarity: float) -> DataFrame:
-    """Rows of ``heads`` (node, n, prints) that meet in a cell: links (u, v), and, with a cell, rows (u, n, fp) with further near rows."""
-    schema = "cell long, u long, v long, n long, fp long"
+def _dealt(heads: DataFrame, words: int, others: list[str]) -> DataFrame:
+    """(cell, node, n, f0.., others): a row of ``heads`` (node, n, prints, others) for each of its cells, dealt by the cell;
+    with the first ``words`` of the fingerprint."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 10_000):
                 part = batch.slice(lo, 10_000)
                 prints = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint64).reshape(-1, WORDS)
-                fp = pa.array(prints[:, 0].copy().view(np.int64))
+                own = [*part.columns[:2], *(pa.array(prints[:, k].copy().view(np.int64)) for k in range(words)), *part.columns[3:]]
                 for key in cell_keys(prints):
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column(0), part.column(1), fp], ["cell", "node", "n", "fp"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *own], names)
+
+    names = ["cell", "node", "n", *(f"f{k}" for k in range(words)), *others]
+    rows = heads.select("node", "n", "prints", *others).mapInArrow(deal, ", ".join(f"{n} long" for n in names))
+    return rows.repartition("cell").sortWithinPartitions("cell", "n", "node")
+
 
-    def out(cell: np.ndarray | None, u: np.ndarray, v: np.ndarray | None, n: np.ndarray | None, fp: np.ndarray | None) -> pa.RecordBatch:
-        cols = (pa.nulls(len(u), pa.int64()) if c is None else pa.array(c) for c in (cell, u, v, n, None if fp is None else fp.view(np.int64)))
-        return pa.RecordBatch.from_arrays(list(cols), ["cell", "u", "v", "n", "fp"])
+def _candidates(heads: DataFrame, similarity: float) -> DataFrame:
+    """Rows of ``heads`` (node, n, prints) that meet in a cell: links (u, v), and, without v, nodes u with further near rows."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell, node, n, signed in _runs(batches):
-            fp = signed.view(np.uint64)
+        for cell, node, n, *prints in _runs(batches):
+            fp = np.stack(prints).view(np.uint64)
             starts, sizes = _bounds(cell)
             head, more, size = np.full(len(cell), -1), np.zeros(len(cell), bool), np.repeat(sizes, sizes)
             short = np.flatnonzero((size > 1) & (size <= _SMALL))
-            c, m, f = cell[short], n[short], fp[short]
+            c, m, f = cell[short], n[short], fp[:, short]
             for d in range(min(_SMALL, int(sizes.max())) - 1, 0, -1):  # the first near row comes last and stays
                 same = np.flatnonzero((c[d:] == c[:-d]) & (m[:-d] >= similarity * m[d:] - 1e-9))  # rows are by rising n
-                near = same[_close(m[same], m[same + d], f[same], f[same + d], similarity)]
+                near = same[_close(m[same], m[same + d], f[:, same], f[:, same + d], similarity, _NEAR)]
                 here, there = short[near + d], short[near]
                 again = head[here] >= 0
                 more[here[again]] = more[there[again]] = True
                 more[head[here[again]]] = True
                 head[here] = np.where(again, np.minimum(head[here], there), there)
             for s, k in zip(starts[sizes > _SMALL].tolist(), sizes[sizes > _SMALL].tolist(), strict=True):
-                at, first, rest = _first_near(n[s : s + k], fp[s : s + k], similarity)
+                at, first, rest = _first_near(n[s : s + k], fp[:, s : s + k], similarity)
                 head[s + at], more[s + rest] = s + first, True
             at = np.flatnonzero(head >= 0)
-            if len(at):
-                u, v = node[at], node[head[at]]
-                yield out(None, np.maximum(u, v), np.minimum(u, v), None, None)
-            at = np.flatnonzero(more)
-            if len(at):
-                yield out(cell[at], node[at], None, n[at], fp[at])
-
-    dealt = heads.select("node", "n", "prints").mapInArrow(deal, "cell long, node long, n long, fp long")
-    return dealt.repartition("cell").sortWithinPartitions("cell", "n", "node").mapInArrow(meet, schema)
-
-
-def _across(mixed: DataFrame, similarity: float, whole: bool) -> DataFrame:
-    """Pairs (u, v) of rows (cell, n, node, component, fp) of one cell but two components that may have the similarity."""
-
-    def pairs(n: np.ndarray, comp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        if whole or len(n) <= _SMALL:
-            for i in range(0, len(n), _BLOCK):
-                for j in range(i, len(n), _BLOCK):
-                    a, b = np.nonzero(comp[i : i + _BLOCK, None] != comp[None, j : j + _BLOCK])
-                    a, b = a + i, b + j
-                    yield a[a < b], b[a < b]
-        else:
-            for d in range(1, _NEIGHBOURS + 1):
-                a = np.flatnonzero(comp[:-d] != comp[d:])
-                yield a, a + d
+            u, v = node[at], node[head[at]]
+            rest = np.unique(node[more])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.maximum(u, v), rest])), pa.concat_arrays([pa.array(np.minimum(u, v)), pa.nulls(len(rest), pa.int64())])], ["u", "v"])
+
+    return _dealt(heads, 2, []).mapInArrow(meet, "u long, v long")
+
+
+def _across(heads: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (u, v) of rows of ``heads`` (node, n, prints, component, shared) of one cell but two components that may have the
+    similarity; ``shared``: how many of a row's shingles others have, and so the most that it has in common with any."""
+
+    def pairs(comp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if len(comp) < 2 or (comp == comp[0]).all():
+            return
+        for i in range(0, len(comp), _BLOCK):
+            for j in range(i, len(comp), _BLOCK):
+                a, b = np.nonzero(comp[i : i + _BLOCK, None] != comp[None, j : j + _BLOCK])
+                a, b = a + i, b + j
+                yield a[a < b], b[a < b]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell, n, node, comp, signed in _runs(batches):
-            fp = signed.view(np.uint64)
+        for cell, node, n, *prints, comp, shared in _runs(batches):
+            fp = np.stack(prints).view(np.uint64)
             for s, k in zip(*(x.tolist() for x in _bounds(cell)), strict=True):
-                for a, b in pairs(n[s : s + k], comp[s : s + k]):
+                for a, b in pairs(comp[s : s + k]):
                     a, b = a + s, b + s
-                    ok = _close(n[a], n[b], fp[a], fp[b], similarity)
+                    both = np.minimum(shared[a], shared[b])
+                    ok = both >= similarity * (n[a] + n[b] - both) - 1e-9
+                    a, b = a[ok], b[ok]
+                    ok = _close(n[a], n[b], fp[:, a], fp[:, b], similarity, _NEAR_ALL)
                     u, v = node[a[ok]], node[b[ok]]
                     if len(u):
                         yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
 
-    rows = mixed.select("cell", "n", "node", "component", "fp").repartition("cell").sortWithinPartitions("cell", "n")
-    return rows.mapInArrow(run, "u long, v long").where("u <> v").distinct()
+    return _dealt(heads, WORDS, ["component", "shared"]).mapInArrow(run, "u long, v long").where("u <> v").distinct()
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, words_in: int, similarity: float, broadcast_rows: int = 2_000_000) -> DataFrame:
@@ -240,16 +240,20 @@ def _verified(docs: DataFrame, pairs: DataFrame, words_in: int, similarity: floa
     return pairs.join(left, "u").join(right, "v").select("u", "v", "su", "sv").mapInArrow(check, "u long, v long")
 
 
-def _plausible(pairs: DataFrame, heads: DataFrame) -> DataFrame:
-    """Those of ``pairs`` whose whole fingerprints differ in few enough bits."""
+def _shared(docs: DataFrame, nodes: DataFrame, words_in: int, broadcast_rows: int = 2_000_000) -> DataFrame:
+    """(node, own): how many of each of the documents ``nodes``' shingles no other of them has; none: no row."""
+    few = nodes.count() <= broadcast_rows  # its size is checked; beyond that documents are shuffled by id
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(-1, WORDS) for c in batch.columns[2:])
-            yield batch.select(["u", "v"]).filter(pa.array(np.bitwise_count(a ^ b).sum(axis=1) <= _NEAR_ALL))
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = shingle_set(text.as_py(), words_in)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.full(len(found), node, np.int64))], ["shingle", "node"])
 
-    left, right = (heads.select(F.col("node").alias(c), F.col("prints").alias(f"p{c}")) for c in "uv")
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "pu", "pv").mapInArrow(run, "u long, v long")
+    wanted = nodes.select(F.col("node").alias("doc_id"))
+    rows = docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi").mapInArrow(cut, "shingle long, node long").distinct()
+    alone = rows.groupBy("shingle").agg(F.count("*").alias("k"), F.min("node").alias("node")).where("k = 1")
+    return alone.groupBy("node").agg(F.count("*").alias("own"))
 
 
 def near_groups(docs: DataFrame, words_in: int, similarity: float) -> tuple[DataFrame, DataFrame]:
@@ -259,8 +263,10 @@ def near_groups(docs: DataFrame, words_in: int, similarity: float) -> tuple[Data
     heads = sets.where("prints is not null").join(nodes, ["doc_id", "k0", "k1"]).groupBy(F.col("doc_id").alias("node")).agg(F.first("n").alias("n"), F.first("prints").alias("prints"))
     heads = persist_table(heads, "heads")
     met = persist_table(_candidates(heads, similarity), "met")
-    crowded = met.where("cell is not null").select("cell", "n", F.col("u").alias("node"), "fp")
-    linked = persist_table(_plausible(met.where("cell is null").select("u", "v").distinct(), heads), "pairs")
+    crowded = persist_table(met.where("v is null").select(F.col("u").alias("node")).distinct(), "crowded")
+    again = heads.join(crowded, "node").join(_shared(docs, crowded, words_in), "node", "left")
+    again = persist_table(again.select("node", "n", "prints", (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared")), "crowded")
+    linked = persist_table(met.where("v is not null").distinct(), "pairs")
 
     def unsettled(pairs: DataFrame) -> DataFrame:
         """Those of ``pairs`` whose ends are not yet known to be of one component."""
@@ -269,17 +275,19 @@ def near_groups(docs: DataFrame, words_in: int, similarity: float) -> tuple[Data
             named = named.join(groups.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")), c, "left")
         return named.where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v").join(tested, ["u", "v"], "left_anti")
 
-    tested = persist_table(linked.groupBy("u").agg(F.min("v").alias("v")), "tested")  # a pair per row first; what that joins needs no more
+    few = F.slice(F.array_sort(F.collect_list("v")), 1, 4)  # of a row's links, one a cell at most, a few first; what they join needs no more
+    tested = persist_table(linked.groupBy("u").agg(few.alias("v")).select("u", F.explode("v").alias("v")), "tested")
     links = persist_table(_verified(docs, tested, words_in, similarity), "links")
     groups = persist_table(connected_components(links), "components")
-    for step in ("linked", "neighbours", "all"):
+    for step in ("linked", "all"):
         if step == "linked":
-            fresh = unsettled(linked)
+            fresh = unsettled(linked)  # crowded rows' pairs are left to the next step, which bounds them better
+            for c in "uv":
+                fresh = fresh.join(crowded.select(F.col("node").alias(c), F.lit(1).alias(f"c{c}")), c, "left")
+            fresh = fresh.where("cu is null or cv is null").select("u", "v")
         else:
-            left = crowded.join(groups, "node", "left").select("cell", "n", "node", F.coalesce("component", "node").alias("component"), "fp")
-            least = _SMALL if step == "all" else 0
-            apart = left.groupBy("cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where(f"lo < hi and size > {least}").select("cell")
-            fresh = _plausible(_across(left.join(apart, "cell"), similarity, step == "all").join(tested, ["u", "v"], "left_anti"), heads)
+            own = again.join(groups, "node", "left").select("node", "n", "prints", F.coalesce("component", "node").alias("component"), "shared")
+            fresh = _across(own, similarity).join(tested, ["u", "v"], "left_anti")
         more = persist_table(fresh, "pairs")
         if not more.limit(1).count():
             continue

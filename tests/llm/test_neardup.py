@@ -37,7 +37,7 @@ def edited(rng, base, k):
 def test_stage_against_brute_force(spark, monkeypatch, small):
     """Copies on both sides of the threshold; fingerprints at 6 bits decide about half of those near it wrongly."""
     monkeypatch.setattr(neardup, "_SMALL", small)
-    monkeypatch.setattr(neardup, "_NEIGHBOURS", 1)
+    monkeypatch.setattr(neardup, "_LARGE", 20 if small == 3 else 4096)
     rng = np.random.default_rng(4)
     words = [f"w{i}" for i in range(2000)]
     texts = [None, "", " \t", "One", "one", "two Words"]
@@ -63,3 +63,22 @@ def test_ids_and_empty(spark):
     docs = spark.createDataFrame([(None, "a b c"), (None, "a b c"), (7, "a b c"), (8, "a b c"), (9, "d"), (9, "d")], "doc_id long, text string")
     assert sorted(str(r.doc_id) for r in neardup.keep_one(docs).collect()) == ["7", "9", "None", "None"]
     assert neardup.keep_one(docs.limit(0)).count() == 0
+
+
+def test_recall_by_similarity():
+    """Pairs of given similarity meet in a cell and pass the bounds, at the stage's own constants."""
+    rng = np.random.default_rng(6)
+    for similarity, least in ((0.8, 0.99), (0.85, 1.0), (0.9, 1.0)):
+        sets = []
+        for _ in range(300):
+            n = int(rng.integers(50, 800))
+            common = round(2 * n * similarity / (1 + similarity))
+            base = rng.integers(0, 2**63, 2 * n, dtype=np.uint64)
+            sets += [np.unique(base[:n]), np.unique(np.concatenate([base[:common], base[n : 2 * n - common]]))]
+        prints = neardup.wide_fingerprints(sets, neardup.WORDS)
+        met = np.zeros(300, bool)
+        for key in neardup.cell_keys(prints):
+            met |= key[::2] == key[1::2]
+        apart = np.bitwise_count(prints[::2] ^ prints[1::2])
+        found = met & (apart[:, :2].sum(axis=1) <= neardup._NEAR) & (apart.sum(axis=1) <= neardup._NEAR_ALL)
+        assert found.mean() >= least

@@ -281,10 +281,8 @@ def near_groups(docs: DataFrame, words_in: int, similarity: float) -> tuple[Data
     groups = persist_table(connected_components(links), "components")
     for step in ("linked", "all"):
         if step == "linked":
-            fresh = unsettled(linked)  # crowded rows' pairs are left to the next step, which bounds them better
-            for c in "uv":
-                fresh = fresh.join(crowded.select(F.col("node").alias(c), F.lit(1).alias(f"c{c}")), c, "left")
-            fresh = fresh.where("cu is null or cv is null").select("u", "v")
+            single = linked.join(crowded.withColumnRenamed("node", "u"), "u", "left_anti").union(linked.join(crowded.withColumnRenamed("node", "v"), "v", "left_anti").select("u", "v"))
+            fresh = unsettled(single.distinct())  # crowded rows' pairs are left to the next step, which bounds them better
         else:
             own = again.join(groups, "node", "left").select("node", "n", "prints", F.coalesce("component", "node").alias("component"), "shared")
             fresh = _across(own, similarity).join(tested, ["u", "v"], "left_anti")

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import color
 from ..operators import gate, relational, suite, timeline
-from ..sources import bundle, external, frames, sinks
-from . import metrics, views
+from ..sources import bundle, external, frames, locators, sinks
+from . import metrics, video, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -573,3 +573,147 @@ def external_first_float(spark: SparkSession, sf_dir: str) -> DataFrame:
 def metric_report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = supplier_rows(spark, sf_dir).withColumn("distorted", F.col("label")).withColumn("unit", F.lit("unit"))
     return sinks.metric_csv_rows(rows, "suite").select("report_kind", "distorted", "metric", "score", "details_json")
+
+
+# -- more of the kernels, gates, timelines and sources -----------------------------------------------------------
+
+ORACLE_SQL["greedy_alignment"] = f"""WITH RECURSIVE {views.TIMELINE_SQL}, d AS MATERIALIZED (SELECT idx, pts, row_number() OVER (ORDER BY pts, idx) - 1 AS k FROM td),
+    r AS MATERIALIZED (SELECT idx, pts, row_number() OVER (ORDER BY pts, idx) AS i, (SELECT count(*) FROM td WHERE td.pts < tr.pts - 600) AS lo FROM tr),
+    walk AS (SELECT CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS cur, CAST(NULL AS BIGINT) AS ri, CAST(NULL AS BIGINT) AS di, CAST(NULL AS DOUBLE) AS delta UNION ALL
+        SELECT i, CASE WHEN gap <= 600 THEN best + 1 ELSE c END, ri, CASE WHEN gap <= 600 THEN di END, gap FROM (
+            SELECT r.i, greatest(w.cur, r.lo) AS c, r.idx AS ri, coalesce(abs(r.pts - b.pts) < abs(r.pts - a.pts), FALSE) AS ahead, CASE WHEN ahead THEN b.k ELSE a.k END AS best, CASE WHEN ahead THEN b.idx ELSE a.idx END AS di, abs(r.pts - CASE WHEN ahead THEN b.pts ELSE a.pts END) AS gap
+            FROM walk w JOIN r ON r.i = w.i + 1 JOIN d a ON a.k = greatest(w.cur, r.lo) LEFT JOIN d b ON b.k = a.k + 1))
+    SELECT ri AS reference_index, di AS distorted_index, round(delta, 6) AS delta_seconds FROM walk WHERE di IS NOT NULL"""
+
+
+def _ms_ssim_sql() -> str:
+    weights = (0.0448, 0.2856, 0.3001, 0.2363, 0.1333)  # fixed values: published weights of the scales
+    parts, side = [f"l0 AS (SELECT frame_id, y, x, {_RL} AS ref, {_DL} AS dist FROM px)"], _S
+    for i in range(len(weights)):
+        w = min(8, side)
+        starts = str(sorted({*range(0, max(side - w, 0), 4), side - w}))
+        stats = _windows_sql(f"l{i}", "frame_id", side, w, starts)
+        for name in ("win", "wm", "wc", "ws"):
+            stats = stats.replace(f"{name} AS (", f"{name}{i} AS (").replace(f"FROM {name})", f"FROM {name}{i})")
+        term = "ssim" if i + 1 == len(weights) else "cs"
+        parts += [stats, f"t{i} AS (SELECT frame_id, pow(greatest(0, least(1, avg({term}))), {weights[i] / sum(weights)}) AS t FROM ws{i} GROUP BY frame_id)"]
+        parts.append(f"l{i + 1} AS (SELECT frame_id, y // 2 AS y, x // 2 AS x, avg(ref) AS ref, avg(dist) AS dist FROM l{i} GROUP BY ALL)")
+        side = -(-side // 2)
+    joined = " ".join(f"JOIN t{i} USING (frame_id)" for i in range(1, len(weights)))
+    return f"WITH {views.SYNTH_SQL}, {', '.join(parts)} SELECT frame_id, 'ms-ssim' AS name, round({' * '.join(f't{i}.t' for i in range(len(weights)))}, 8) AS score FROM t0 {joined}"
+
+
+ORACLE_SQL["kernel_ms_ssim"] = _ms_ssim_sql()
+
+
+@query(f"""WITH {views.SYNTH_SQL}, e AS (SELECT frame_id, y, x, unnest([0, 1, 2]) AS c, unnest([rr - dr, rg - dg, rb - db]) AS e FROM px), t AS (SELECT frame_id, y, x, max(abs(e)) AS top, sqrt(sum(e * e)) AS norm FROM e GROUP BY ALL),
+    p AS (SELECT frame_id, count(*) AS pixels, count(*) FILTER (top > 0) AS changed_pixels, count(*) FILTER (top * 255.0 > 4) AS pixels_beyond_4_lsb, max(norm) AS max_pixel_delta FROM t GROUP BY 1),
+    s AS (SELECT frame_id, count(*) AS samples, count(*) FILTER (e <> 0) AS changed_samples, avg(e) AS mean_error, max(abs(e)) * 255.0 AS max_channel_delta_code, avg(abs(e)) FILTER (c = 1) AS channel_1_mae, avg(e * e) FILTER (c = 2) AS channel_2_mse FROM e GROUP BY 1)
+    SELECT frame_id, CAST(samples AS DOUBLE) AS samples, CAST(pixels AS DOUBLE) AS pixel_count, CAST(changed_pixels AS DOUBLE) AS changed_pixels, CAST(changed_samples AS DOUBLE) AS changed_samples, CAST(pixels_beyond_4_lsb AS DOUBLE) AS pixels_beyond_4_lsb,
+        round(max_pixel_delta, 9) AS max_pixel_delta, round(mean_error, 9) AS mean_error, round(max_channel_delta_code, 6) AS max_channel_delta_code, round(channel_1_mae, 9) AS channel_1_mae, round(channel_2_mse, 9) AS channel_2_mse, 3.0::DOUBLE AS channel_count FROM p JOIN s USING (frame_id)""")
+def kernel_error_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = metrics.compare_pairs(views.frame_pairs(spark, sf_dir), "mse:color")
+    keys = ("samples", "pixel_count", "changed_pixels", "changed_samples", "pixels_beyond_4_lsb", "max_pixel_delta", "mean_error", "max_channel_delta_code", "channel_1_mae", "channel_2_mse", "channel_count")
+    out = rows.select("frame_id", *(F.col("details")[k].alias(k) for k in keys))
+    return rounded(out, max_pixel_delta=9, mean_error=9, max_channel_delta_code=6, channel_1_mae=9, channel_2_mse=9)
+
+
+@query(f"""WITH {views.SYNTH_SQL}, c AS (SELECT frame_id, CAST(round(ra * 255) AS INTEGER) AS a, CAST(round(da * 255) AS INTEGER) AS b FROM px)
+    SELECT frame_id, count(*) FILTER (a = 0) AS transparent, count(*) FILTER (a BETWEEN 1 AND 254) AS partial, count(*) FILTER (b = 255) AS distorted_opaque, count(*) FILTER (a <> b) AS mismatch_count, CAST(max(abs(a - b)) AS BIGINT) AS max_delta, count(*) FILTER (abs(a - b) > 1) AS mismatches_beyond_one_lsb FROM c GROUP BY frame_id""")
+def kernel_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = metrics.alpha_rows(views.frame_pairs(spark, sf_dir))
+    return rows.select("frame_id", F.col("reference_alpha.transparent").alias("transparent"), F.col("reference_alpha.partial").alias("partial"), F.col("distorted_alpha.opaque").alias("distorted_opaque"), "mismatch_count", "max_delta", "mismatches_beyond_one_lsb")
+
+
+_PAIR_LIST = "0:1, 2->3, (4,5), (7,6,70), 9, (3,3,1)"
+
+
+@query(f"""WITH {views.SYNTH_SQL}, pl(pair_index, a, b) AS (VALUES (0, 0, 1), (1, 2, 3), (2, 4, 5), (3, 7, 6), (4, 9, 9), (5, 3, 3)),
+    m AS (SELECT pair_index, a, b, avg(((r.rr - d.dr) * (r.rr - d.dr) + (r.rg - d.dg) * (r.rg - d.dg) + (r.rb - d.db) * (r.rb - d.db)) / 3) AS mse FROM pl JOIN px r ON r.frame_id = a JOIN px d ON d.frame_id = b AND d.y = r.y AND d.x = r.x GROUP BY ALL)
+    SELECT CAST(pair_index AS BIGINT) AS pair_index, CAST(a AS BIGINT) AS reference_index, CAST(b AS BIGINT) AS distorted_index, round(mse, 9) AS score FROM m""")
+def compare_pair_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = views.frame_pairs(spark, sf_dir).withColumn("frame_index", F.col("frame_id").cast("long"))
+    side = lambda c: pairs.select("frame_index", F.col(c).alias("frame"))
+    rows = video.compare_listed(locators.frame_pair_table(spark, _PAIR_LIST), side("reference"), side("distorted"), "mse:color")
+    return rounded(rows.select("pair_index", "reference_index", "distorted_index", "score"), score=9)
+
+
+@query(f"""WITH {views.SYNTH_SQL} SELECT frame_id, CAST(frame_id // 2 AS BIGINT) AS frame_index, round(avg(((rr - dr) * (rr - dr) + (rg - dg) * (rg - dg) + (rb - db) * (rb - db)) / 3), 9) AS score FROM px WHERE frame_id % 2 = 0 AND frame_id // 2 < 8 GROUP BY frame_id""")
+def compare_every_second(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = views.frame_pairs(spark, sf_dir).withColumn("frame_index", F.col("frame_id").cast("long"))
+    side = lambda c: pairs.select("frame_index", F.col(c).alias("frame"))
+    rows = video.compare_in_order(side("reference"), side("distorted"), "mse:color", every=2, max_frames=8)
+    return rounded(rows.select(F.col("frame_index").cast("int").alias("frame_id"), F.floor(F.col("frame_index") / 2).alias("frame_index"), "score"), score=9)
+
+
+@query(f"""WITH {_SUITE_SQL} SELECT suite_id, bool_and(psnr >= 25 AND maxae < 0.11 AND ord % 17 <> 0) AS passed FROM wide GROUP BY suite_id""")
+def suite_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = supplier_rows(spark, sf_dir)
+    keys = ["suite_id", "label"]
+    passed = gate.verdicts(gate.evaluate(rows, keys, ["psnr>=25", "mse.maxae<0.11"]), keys)
+    failed = F.when(F.col("label").cast("int") % 17 == 0, F.lit("unreadable")).alias("error")
+    return gate.suite_passed(passed.select("*", failed), ["suite_id"])
+
+
+@query(f"""WITH {views.SYNTH_SQL}, m AS (SELECT frame_id, avg(((rr - dr) * (rr - dr) + (rg - dg) * (rg - dg) + (rb - db) * (rb - db)) / 3) AS mse, max(greatest(abs(rr - dr), abs(rg - dg), abs(rb - db))) * 255.0 AS top, count(*) FILTER (ra <> da) AS bad FROM px GROUP BY frame_id), s AS (SELECT *, {_psnr_sql('mse')} AS psnr FROM m)
+    SELECT frame_id, 'psnr:color' AS name, round(psnr, 9) AS score, NOT (psnr < 9) AND NOT (top > 240) AND bad <= 1600 AS passed, CAST((psnr < 9)::INT + (top > 240)::INT + (bad > 1600)::INT AS INTEGER) AS failures FROM s""")
+def image_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = views.frame_pairs(spark, sf_dir)
+    rows = metrics.compare_pairs(pairs, "mse,psnr:color")
+    out = gate.image_gate(rows, ["frame_id"], gate.ImageThresholds("color", 9.0, 240.0, None, 1600, None), metrics.alpha_rows(pairs))
+    return out.select("frame_id", "name", F.round("score", 9).alias("score"), "passed", F.size("failures").alias("failures"))
+
+
+@query(f"""WITH {_SUITE_SQL}, c AS (SELECT *, psnr >= 25 AS a, mse <= 0.002 AS b FROM wide) SELECT label, a AND b AS passed, 3 AS metrics, 2 AS checks, round(psnr, 9) AS first_score, CASE WHEN a THEN '' ELSE 'psnr' END || CASE WHEN b THEN '' ELSE 'mse' END AS failed FROM c""")
+def gate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = supplier_rows(spark, sf_dir).withColumn("unit", F.lit("unit"))
+    out = gate.report(rows, gate.evaluate(rows, ["label"], ["psnr>=25", "mse<=0.002"]), ["label"])
+    failed = F.array_join(F.transform(F.filter("checks", lambda c: ~c["passed"]), lambda c: c["metric"]), "")
+    return out.select("label", "passed", F.size("metrics").alias("metrics"), F.size("checks").alias("checks"), F.round(F.col("metrics")[0]["score"], 9).alias("first_score"), failed.alias("failed"))
+
+
+@query(f"""WITH {_SUITE_SQL}, ru AS (SELECT label, unnest([0, 1, 2]) AS rule_index FROM wide)
+    SELECT label, CAST(rule_index AS INTEGER) AS rule_index, FALSE AS passed, TRUE AS named FROM ru""")
+def gate_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = supplier_rows(spark, sf_dir).drop("suite_id")
+    checks = gate.evaluate(rows, ["label"], ["ssim>=baseline", "psnr.none<=baseline*2", "wssim.none<=baseline"], baseline="000000001")
+    return checks.select("label", "rule_index", "passed", F.col("message").contains("was not produced").alias("named"))
+
+
+@query(f"""WITH {views.SYNTH_SQL}, f AS (SELECT frame_id, frame_id % 4 AS bundle, row_number() OVER (PARTITION BY frame_id % 4 ORDER BY frame_id) - 1 AS i, CASE WHEN frame_id % 3 = 0 THEN 'third' ELSE 'other' END AS tag FROM (SELECT DISTINCT frame_id FROM px)),
+    t AS (SELECT bundle, min(i) AS i FROM f WHERE tag = 'third' GROUP BY bundle) SELECT CAST(f.bundle AS BIGINT) AS bundle, 'tag' AS found, 'f' || frame_id AS label FROM f JOIN t ON f.bundle = t.bundle AND f.i = t.i UNION ALL SELECT CAST(bundle AS BIGINT), 'index', 'f' || frame_id FROM f WHERE i = 2""")
+def bundle_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = views.frame_pairs(spark, sf_dir)
+    tag = F.array(F.when(F.col("frame_id") % 3 == 0, F.lit("third")).otherwise("other"))
+    records = pairs.select((F.col("frame_id") % 4).cast("long").alias("bundle"), F.col("frame_id").alias("record_index"), F.concat(F.lit("f"), "frame_id").alias("label"), tag.alias("tags"), "reference.*")
+    read = bundle.read_bundles(bundle.encode_bundles(records).select(F.col("bundle").cast("string").alias("path"), "content"))
+    part = lambda df, kind: df.select(F.col("path").cast("long").alias("bundle"), F.lit(kind).alias("found"), "label")
+    return part(bundle.by_tag(read, "third"), "tag").union(part(bundle.by_index(read, 2), "index"))
+
+
+@query(f"""WITH {_NEAREST_SQL}, s AS (SELECT count(*) AS n, avg(rp - dp) AS ms, avg(abs(rp - dp)) AS ma, sqrt(avg((rp - dp) * (rp - dp))) AS rms, max(abs(rp - dp)) AS mx FROM pairs),
+    u AS (SELECT (SELECT count(*) FROM tr WHERE idx NOT IN (SELECT ri FROM pairs)) AS ur, (SELECT count(*) FROM td WHERE idx NOT IN (SELECT di FROM pairs)) AS ud)
+    SELECT 'alignment' AS scope, unnest(['alignment_planned_pairs', 'alignment_unmatched_reference_frames', 'alignment_unmatched_distorted_frames', 'alignment_timestamp_scale', 'alignment_timestamp_offset', 'alignment_mean_signed_residual', 'alignment_mean_absolute_residual', 'alignment_rms_residual', 'alignment_max_residual']) AS name,
+        unnest([n, ur, ud, 1.0, 0.0, round(ms, 6), round(ma, 6), round(rms, 6), round(mx, 6)]::DOUBLE[]) AS score FROM s, u""")
+def alignment_report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r, d = (x.withColumn("video", F.lit(1)) for x in views.timelines(spark, sf_dir))
+    pairs = timeline.nearest_with_reuse(r, d, ["video"], 600.0)
+    fixed = spark.createDataFrame([(1, 1.0, 0.0)], "video int, scale double, offset double")
+    rows = timeline.alignment_rows(pairs, ["video"], timeline.unmatched(r, pairs, ["video"], "reference"), timeline.unmatched(d, pairs, ["video"], "distorted"), fixed)
+    return rounded(rows.select("scope", "name", "score"), score=6)
+
+
+@query("""SELECT event_id, round(CASE WHEN event_id % 5 <> 0 THEN value WHEN event_id % 3 <> 0 THEN coalesce(CASE WHEN event_id % 7 <> 0 THEN 2.5 END, 0) + event_id / 25.0 END, 9) AS pts_effective, CASE WHEN event_id % 5 <> 0 THEN round(value, 9) END AS pts_exact FROM events""")
+def effective_pts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, i = views.table(spark, sf_dir, "events"), F.col("event_id")
+    info = e.select("event_id", i.alias("frame_index"), F.when(i % 5 != 0, F.col("value")).alias("pts_seconds"), F.when(i % 7 != 0, F.lit(2.5)).alias("start_seconds"), F.when(i % 3 != 0, F.lit(25.0)).otherwise(0.0).alias("avg_rate"))
+    out = timeline.effective_pts(info).select("event_id", "pts_effective", F.nullif("pts_exact", F.lit(float("nan"))).alias("pts_exact"))
+    return rounded(out, pts_effective=9, pts_exact=9)
+
+
+@query(f"""WITH {views.SYNTH_SQL} SELECT 'n' || frame_id AS path, round(avg(rr), 9) AS red, round(avg(rb), 9) AS blue FROM px GROUP BY frame_id""")
+def raw_frame_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = views.frame_pairs(spark, sf_dir).select(F.concat(F.lit("n"), "frame_id").alias("path"), F.col("reference.planes")[0]["data"].alias("content"))
+    read = frames.raw_frames(files, views.SIDE, views.SIDE, "rgba8").where("error is null").select("path", "frame")
+    mean = lambda c: F.round(F.get_json_object("profile", f"$.channels.{c}.mean").cast("double"), 9).alias(c)
+    return metrics.image_profiles(read).select("path", mean("red"), mean("blue"))

@@ -212,7 +212,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECES)
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, groups: int = 96, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, groups: int = 96, end_id: int = 0, broadcast_rows: int = 200_000) -> DataFrame:
     """Pack documents (doc_id, text) into sequences of at most ``capacity`` tokens.
 
     A document is its text's ids and ``end_id``; only longer ones are cut, all pieces but the first being full.
@@ -244,6 +244,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, groups: int = 96
                 off[at] = runs[i, 3] + within % runs[i, 2] * k
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(seq), pa.array(off)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    ranked = pieces.join(by_task.select("length", "part", "base"), ["length", "part"])
+    ranks = by_task.select("length", "part", "base")
+    few = ranks.count() <= broadcast_rows  # a row per length and task: its size is checked; beyond that both sides are shuffled
+    ranked = pieces.join(F.broadcast(ranks) if few else ranks.hint("merge"), ["length", "part"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("rank"))
     return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -19,7 +19,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Numbers of segments, coarse to fine.
-LEVELS = (4, 16)
+LEVELS = (4, 16, 32)
+#: Share of a step's pairs that survive up to which products are computed pair by pair.
+_SPARSE = 0.1
 
 
 def segment_features(x: np.ndarray, segments: int) -> np.ndarray:
@@ -39,6 +41,18 @@ def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return q @ x.T
 
 
+def survivors(q: np.ndarray, x: np.ndarray, bars: np.ndarray) -> list[float]:
+    """For reports and tests: the share of pairs left by each level, where ``bars`` are the queries' k-th best scores."""
+    out, alive = [], np.ones((len(q), len(x)), bool)
+    norms = (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :]
+    for s in LEVELS:
+        a, b = segment_features(q.astype(float), s), segment_features(x.astype(float), s)
+        distance = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
+        alive &= (norms - distance) / 2 + 0.5 >= bars[:, None]
+        out.append(float(alive.mean()))
+    return out
+
+
 def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, step: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, vec_id, score) of the k best candidates of each query; integer rows, ties to the smaller id."""
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -61,17 +75,23 @@ def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k:
         for n, (fq, fx) in enumerate(levels):
             a, b = fq[part], fx[columns]
             upper = a @ b.T + ((qn[part] - (a * a).sum(1)) / 2)[:, None] + ((xn[columns] - (b * b).sum(1)) / 2)[None, :]
-            if n == 0 and len(x) > k + 1:  # the likeliest candidates set the bar: their k-th exact score
-                likely = np.argpartition(-upper, k, axis=1)[:, : k + 1]
+            if len(columns) > k + 1:  # the likeliest candidates raise the bar: their k-th exact score
+                likely = columns[np.argpartition(-upper, k, axis=1)[:, : k + 1]]
                 got = np.einsum("ij,ikj->ik", own, x[likely])
                 got = np.where(ids[likely] == mine[:, None], np.iinfo(np.int64).min, got)
-                bar = np.partition(got, 1, axis=1)[:, 1].astype(float)  # k of the k + 1 are at least this
+                bar = np.maximum(bar, np.partition(got, 1, axis=1)[:, 1])  # k of the k + 1 are at least this
             slack = 0.5 + 1e-9 * np.abs(upper)
             alive = alive[:, columns] & (upper + slack >= bar[:, None]) if n == 0 else alive & (upper + slack >= bar[:, None])
             some = np.flatnonzero(alive.any(axis=0))
             columns, alive = columns[some], alive[:, some]
-        score = _exact(own, x[columns])
         alive &= ids[columns][None, :] != mine[:, None]
+        if alive.mean() <= _SPARSE if alive.size else True:
+            at, of = np.nonzero(alive)
+            score = np.zeros(alive.shape, np.int64)
+            for i in range(0, len(at), 65_536):
+                score[at[i : i + 65_536], of[i : i + 65_536]] = np.einsum("ij,ij->i", own[at[i : i + 65_536]], x[columns[of[i : i + 65_536]]])
+        else:
+            score = _exact(own, x[columns])
         for i in range(len(own)):
             at = np.flatnonzero(alive[i])
             if len(at) > k:

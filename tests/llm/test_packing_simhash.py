@@ -131,3 +131,29 @@ def test_plan_is_near_the_bound():
         for first, m, c, _ in runs:
             fill[first : first + m] += k * c
     assert fill.max() <= 2048 and n <= 1.02 * -(-lengths.sum() // 2048)
+
+
+def test_simhash_links_through_rows_without_ids(spark, monkeypatch):
+    """Fingerprints 0, 7 and 63: the middle one belongs to a row without doc_id alone, and links the others."""
+    prints = spark.createDataFrame([(1, 0), (None, 7), (3, 63), (4, 2**62 - 1), (None, -1)], "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, words_in: prints)
+    got = {(r.doc_id, r.fingerprint): r.component_id for r in simhash.near_duplicate_groups(prints).collect()}
+    assert got == {(1, f"{0:016x}"): 1, (None, f"{7:016x}"): 1, (3, f"{63:016x}"): 1, (4, f"{2**62 - 1:016x}"): 4, (None, "f" * 16): 4}
+
+
+def test_ranks_need_no_broadcast(spark):
+    texts = [(i, "some words here " * (i % 7)) for i in range(60)]
+    df = rows(spark, texts).repartition(4)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    a, b = (packing.pack(df, path, capacity=32, broadcast_rows=n) for n in (200_000, 0))
+    assert "BroadcastHashJoin" not in b._jdf.queryExecution().optimizedPlan().toString()
+    for got in (a, b):
+        by_seq = {}
+        for r in got.collect():
+            by_seq.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        for places in by_seq.values():
+            at = 0
+            for offset, length in sorted(places):
+                assert offset == at
+                at += length
+            assert at <= 32

@@ -24,6 +24,24 @@ def test_search_against_scan():
         assert [(b, s) for a, b, s in got if a == i] == topk.linear_scan(iter(rows), v, i, 7, 1.0)
 
 
+def test_bounds_prune_where_vectors_differ_in_their_segments():
+    """Clustered vectors: each level leaves less, the last a small share; the products of what is left are as by the scan."""
+    rng = np.random.default_rng(2)
+    centres = np.repeat(rng.normal(size=(40, 8)), 8, axis=1)
+    x = np.floor(64 * (centres[rng.integers(0, 40, 3000)] + 0.1 * rng.normal(size=(3000, 64)))).astype(np.int64)
+    q = x[:60]
+    score = q @ x.T
+    score[np.arange(60), np.arange(60)] = -(2**40)
+    bars = np.sort(score, axis=1)[:, -20].astype(float)
+    coarse, middle, fine = topk.survivors(q, x, bars)
+    assert fine <= middle <= coarse < 0.5 and fine < 0.1
+    ids = np.arange(3000)
+    got = topk.search(ids[:60], q, ids, x, 20)
+    for i in range(0, 60, 7):
+        want = sorted(zip((-score[i]).tolist(), ids.tolist(), strict=True))[:20]
+        assert [(-s, j) for j, s in zip(got[1][got[0] == i].tolist(), got[2][got[0] == i].tolist(), strict=True)] == want
+
+
 def test_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 2.0]), (20, None), (40, [1.0, None]), (60, [nan, 1.0]), (80, [inf, 0.0]), (None, [1.0, 1.0]), (3, [0.5, 0.5]), (3, [0.5, 0.5]), (1, [0.5, 0.5]), (5, [1.0]), (100, [2.0]), (120, []), (0, [1.0, 2.0])]

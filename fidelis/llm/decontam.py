@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, persist_table
+from .common import drop_table, lean, persist_table
 
 #: Upper-case ASCII to lower case, ASCII punctuation and control characters to spaces.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
@@ -148,7 +148,7 @@ def _encoded(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "n_words", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_words long, ids binary")
+    return rows.mapInArrow(lean(run), "doc_id long, n_words long, ids binary")
 
 
 def _document_frequencies(encoded: DataFrame, size: int) -> tuple[np.ndarray, int]:
@@ -164,7 +164,7 @@ def _document_frequencies(encoded: DataFrame, size: int) -> tuple[np.ndarray, in
         at = np.flatnonzero(df[:-1])
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], n))], ["word", "n"])
 
-    got = encoded.select("ids").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()  # at most a row per benchmark word
+    got = encoded.select("ids").mapInArrow(lean(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()  # at most a row per benchmark word
     df, n_docs = np.zeros(size), 0
     for word, n in got:
         if word < 0:
@@ -246,7 +246,7 @@ def _passages(encoded: DataFrame, shared, size: int) -> DataFrame:
             types = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, types, strict=True)], ["doc_id", "begin", "words", "starts"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, REGIONS)
+    return encoded.select("doc_id", "ids").mapInArrow(lean(run), REGIONS)
 
 
 def _summed(row: np.ndarray, word: np.ndarray, value: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -318,7 +318,7 @@ def latent_basis(encoded: DataFrame, anchors: list[tuple[np.ndarray, np.ndarray,
             return pa.table([t.column("block").slice(0, 1), pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["block", "part"])
 
         schema = "block int, part binary"
-        summed = shares.mapInArrow(partial, schema).repartition(n_blocks, "block").groupBy("block").applyInArrow(add, schema)
+        summed = shares.mapInArrow(lean(partial), schema).repartition(n_blocks, "block").groupBy("block").applyInArrow(add, schema)
         blocks = {r.block: np.frombuffer(r.part, np.float32) for r in summed.collect()}  # vocabulary x width numbers
         out = np.zeros(basis.shape)
         for row, word, tf in anchors:
@@ -373,7 +373,7 @@ def _search(regions: DataFrame, bench_shared, idf: np.ndarray, basis: np.ndarray
             names = ["doc_id", "item_id", "start", "cosine", "lcs", "lcs_ratio", "answer_ratio"]
             yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, types, strict=True)], names)
 
-    return regions.select("doc_id", "begin", "words", "starts").mapInArrow(run, FOUND)
+    return regions.select("doc_id", "begin", "words", "starts").mapInArrow(lean(run), FOUND)
 
 
 def contaminated(

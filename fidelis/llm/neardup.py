@@ -21,12 +21,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, persist_table
+from .common import connected_components, lean, persist_table
 from .simhash import _mix, shingle_hashes, unary, wide_fingerprints
 
 WORDS, CELLS, SEGMENTS = 6, 128, 8
-#: Differing bits of the first 128 and of all, 3.4 to 4 standard deviations above what is expected at a similarity of 0.8.
-_NEAR, _NEAR_ALL = 36, 82
+#: Differing bits of the first 128 and of all, 3 to 4 standard deviations above what is expected at a similarity of 0.8.
+_NEAR, _NEAR_ALL = 36, 80
 #: Rows of a cell tested pairwise by shifts, and in blocks; in longer ones so many first rows are tried.
 _SMALL, _LARGE, _LEADERS, _BLOCK = 64, 4096, 64, 512
 
@@ -79,7 +79,7 @@ def _sets(docs: DataFrame, words_in: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "k0", "k1", "n", "prints"])
                 first, some, held = i + 1, [], 0
 
-    return docs.mapInArrow(run, "doc_id long, k0 long, k1 long, n long, prints binary")
+    return docs.mapInArrow(lean(run), "doc_id long, k0 long, k1 long, n long, prints binary")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -140,6 +140,19 @@ def _first_near(n: np.ndarray, fp: np.ndarray, similarity: float) -> tuple[np.nd
     return at, head[at], np.flatnonzero(more)
 
 
+def _met_first(counts: np.ndarray, cell: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the row pairs meet in no earlier cell than the one they are in, so that each pair is told of once."""
+    first, open_ = np.zeros(len(a), bool), np.arange(len(a))
+    for i, mask in enumerate(_MASKS):
+        x, y = (_mix(((counts[r[open_]] & mask) * _FACTORS).sum(axis=1, dtype=np.uint64), i) for r in (a, b))
+        met = x == y
+        first[open_[met]] = x[met] == cell[a[open_[met]]]
+        open_ = open_[~met]
+        if not len(open_):
+            break
+    return first
+
+
 def _dealt(heads: DataFrame, words: int, others: list[str]) -> DataFrame:
     """(cell, node, n, f0.., others): a row of ``heads`` (node, n, prints, others) for each of its cells, dealt by the cell;
     with the first ``words`` of the fingerprint."""
@@ -154,7 +167,7 @@ def _dealt(heads: DataFrame, words: int, others: list[str]) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *own], names)
 
     names = ["cell", "node", "n", *(f"f{k}" for k in range(words)), *others]
-    rows = heads.select("node", "n", "prints", *others).mapInArrow(deal, ", ".join(f"{n} long" for n in names))
+    rows = heads.select("node", "n", "prints", *others).mapInArrow(lean(deal), ", ".join(f"{n} long" for n in names))
     return rows.repartition("cell").sortWithinPartitions("cell", "n", "node")
 
 
@@ -184,7 +197,7 @@ def _candidates(heads: DataFrame, similarity: float) -> DataFrame:
             rest = np.unique(node[more])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.maximum(u, v), rest])), pa.concat_arrays([pa.array(np.minimum(u, v)), pa.nulls(len(rest), pa.int64())])], ["u", "v"])
 
-    return _dealt(heads, 2, []).mapInArrow(meet, "u long, v long")
+    return _dealt(heads, 2, []).mapInArrow(lean(meet), "u long, v long")
 
 
 def _across(heads: DataFrame, similarity: float) -> DataFrame:
@@ -203,6 +216,14 @@ def _across(heads: DataFrame, similarity: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell, node, n, *prints, comp, shared in _runs(batches):
             fp = np.stack(prints).view(np.uint64)
+            counts, held, size = unary(fp.T), [], 0
+
+            def close() -> pa.RecordBatch:
+                a, b = (np.concatenate(x) for x in zip(*held, strict=True))  # noqa: B023
+                ok = _met_first(counts, cell.view(np.uint64), a, b)  # noqa: B023
+                u, v = node[a[ok]], node[b[ok]]  # noqa: B023
+                return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
+
             for s, k in zip(*(x.tolist() for x in _bounds(cell)), strict=True):
                 for a, b in pairs(comp[s : s + k]):
                     a, b = a + s, b + s
@@ -210,11 +231,16 @@ def _across(heads: DataFrame, similarity: float) -> DataFrame:
                     ok = both >= similarity * (n[a] + n[b] - both) - 1e-9
                     a, b = a[ok], b[ok]
                     ok = _close(n[a], n[b], fp[:, a], fp[:, b], similarity, _NEAR_ALL)
-                    u, v = node[a[ok]], node[b[ok]]
-                    if len(u):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
+                    if ok.any():
+                        held.append((a[ok], b[ok]))
+                        size += int(ok.sum())
+                if size > 100_000:
+                    yield close()
+                    held, size = [], 0
+            if held:
+                yield close()
 
-    return _dealt(heads, WORDS, ["component", "shared"]).mapInArrow(run, "u long, v long").where("u <> v").distinct()
+    return _dealt(heads, WORDS, ["component", "shared"]).mapInArrow(lean(run), "u long, v long").where("u <> v").distinct()
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, words_in: int, similarity: float, broadcast_rows: int = 2_000_000) -> DataFrame:
@@ -234,10 +260,10 @@ def _verified(docs: DataFrame, pairs: DataFrame, words_in: int, similarity: floa
             sets = ((np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)) for a, b in zip(batch.column(2), batch.column(3), strict=True))
             yield batch.select(["u", "v"]).filter(pa.array([similar(a, b, similarity) for a, b in sets], pa.bool_()))
 
-    sets = docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi").mapInArrow(cut, "node long, shingles binary")
+    sets = docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi").mapInArrow(lean(cut), "node long, shingles binary")
     sets = persist_table(sets, "shingles")
     left, right = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in "uv")
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "su", "sv").mapInArrow(check, "u long, v long")
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "su", "sv").mapInArrow(lean(check), "u long, v long")
 
 
 def _shared(docs: DataFrame, nodes: DataFrame, words_in: int, broadcast_rows: int = 2_000_000) -> DataFrame:
@@ -251,7 +277,7 @@ def _shared(docs: DataFrame, nodes: DataFrame, words_in: int, broadcast_rows: in
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.full(len(found), node, np.int64))], ["shingle", "node"])
 
     wanted = nodes.select(F.col("node").alias("doc_id"))
-    rows = docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi").mapInArrow(cut, "shingle long, node long").distinct()
+    rows = docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi").mapInArrow(lean(cut), "shingle long, node long").distinct()
     alone = rows.groupBy("shingle").agg(F.count("*").alias("k"), F.min("node").alias("node")).where("k = 1")
     return alone.groupBy("node").agg(F.count("*").alias("own"))
 

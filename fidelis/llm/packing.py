@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import persist_table
+from .common import lean, persist_table
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
@@ -209,7 +209,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int
                     lo = hi
             yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECES)
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(lean(cut), PIECES)
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, groups: int = 96, end_id: int = 0, broadcast_rows: int = 200_000) -> DataFrame:
@@ -248,4 +248,4 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, groups: int = 96
     few = ranks.count() <= broadcast_rows  # a row per length and task: its size is checked; beyond that both sides are shuffled
     ranked = pieces.join(F.broadcast(ranks) if few else ranks.hint("merge"), ["length", "part"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("rank"))
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(lean(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

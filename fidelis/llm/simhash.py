@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, persist_table
+from .common import connected_components, lean, persist_table
 
 SEED = 42
 _LOW = np.uint64(0x5555555555555555)
@@ -103,7 +103,7 @@ def fingerprints(docs: DataFrame, words_in: int = 3) -> DataFrame:
             prints.append(_fingerprints(some))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(prints).view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(lean(run), "doc_id long, fp long")
 
 
 def unary(fp: np.ndarray) -> np.ndarray:
@@ -232,8 +232,8 @@ def links(prints: DataFrame, radius: int = 3) -> DataFrame:
         if held:
             yield from solve(tuple(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    placed = prints.select("fp", "node").mapInArrow(cells, "cell long, fp long, node long")
-    return placed.repartition("cell").sortWithinPartitions("cell").mapInArrow(join, "u long, v long").distinct()
+    placed = prints.select("fp", "node").mapInArrow(lean(cells), "cell long, fp long, node long")
+    return placed.repartition("cell").sortWithinPartitions("cell").mapInArrow(lean(join), "u long, v long").distinct()
 
 
 def near_duplicate_groups(docs: DataFrame, words_in: int = 3, radius: int = 3) -> DataFrame:

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, persist_table
+from .common import drop_table, lean, persist_table
 from .fmindex import FMIndex
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -127,7 +127,7 @@ def _first_pass(docs: DataFrame, window: int, gram: int) -> DataFrame:
         if rows:
             yield solve(rows)
 
-    return docs.select("uid", "text").mapInArrow(run, "key long, same long, uid long, first int, count short, later boolean")
+    return docs.select("uid", "text").mapInArrow(lean(run), "key long, same long, uid long, first int, count short, later boolean")
 
 
 def _by_stretch(rows: DataFrame) -> DataFrame:
@@ -157,7 +157,7 @@ def _by_stretch(rows: DataFrame) -> DataFrame:
         if held:
             yield solve([np.concatenate(x) for x in zip(*held, strict=True)])
 
-    return rows.repartition("key", "same").sortWithinPartitions("key").mapInArrow(run, "kind byte, key long, uid long, first int, count short")
+    return rows.repartition("key", "same").sortWithinPartitions("key").mapInArrow(lean(run), "kind byte, key long, uid long, first int, count short")
 
 
 def _by_minimizer(rows: DataFrame) -> DataFrame:
@@ -231,7 +231,7 @@ def _texts(docs: DataFrame, asked: DataFrame, window: int) -> DataFrame:
         if apart:
             yield windows(apart)
 
-    return docs.join(wanted, "uid").select("uid", "packed", "asks").mapInArrow(run, TEXTS)
+    return docs.join(wanted, "uid").select("uid", "packed", "asks").mapInArrow(lean(run), TEXTS)
 
 
 def repeated_windows(texts: list[list[bytes]], uid: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -291,7 +291,7 @@ def _search(texts: DataFrame, window: int) -> DataFrame:
         if held:
             yield solve()
 
-    return texts.repartition("key").sortWithinPartitions("kind", "key", "uid", "first").mapInArrow(run, "uid long, first int, count int")
+    return texts.repartition("key").sortWithinPartitions("kind", "key", "uid", "first").mapInArrow(lean(run), "uid long, first int, count int")
 
 
 def _kept(words: list[bytes], first: np.ndarray, count: np.ndarray, window: int) -> list[bytes]:
@@ -323,7 +323,7 @@ def marked_documents(docs: DataFrame, window: int = 20, gram: int = 5, others: l
             packed = pa.array([squeeze.compress(t.as_py() or b"") for t in batch.column(2)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed, *batch.columns[3:]], ["doc_id", "uid", "packed", *batch.schema.names[3:]])
 
-    packed = carried.mapInArrow(pack, types)
+    packed = carried.mapInArrow(lean(pack), types)
     found = persist_table(_by_minimizer(_first_pass(numbered, window, gram)), "stretches")
     texts = _texts(packed.select("uid", "packed"), found.where(F.col("kind") != MARK), window)
     hits = persist_table(_search(texts, window), "windows")
@@ -361,7 +361,7 @@ def deduplicate(docs: DataFrame, window: int = 20, gram: int = 5, keep_text: boo
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, types, strict=True)], ["doc_id", "n_words", "n_removed", "kept_sha256", "text"])
 
-    done = marked_documents(docs, window, gram).select("doc_id", "packed", "marks").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, text binary")
+    done = marked_documents(docs, window, gram).select("doc_id", "packed", "marks").mapInArrow(lean(run), "doc_id long, n_words long, n_removed long, kept_sha256 string, text binary")
     return done.withColumn("text", F.col("text").cast("string")) if keep_text else done.drop("text")
 
 
@@ -390,7 +390,7 @@ def without_repeats(docs: DataFrame, window: int = 20, gram: int = 5) -> DataFra
     renamed = docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(n) for c, n in zip(own, names, strict=True)))
     fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     marked = marked_documents(renamed, window, gram, names).select("doc_id", "packed", "marks", *names)
-    done = marked.mapInArrow(run, ", ".join(["doc_id long", "text binary", *(f"{n} {fields[c]}" for c, n in zip(own, names, strict=True))]))
+    done = marked.mapInArrow(lean(run), ", ".join(["doc_id long", "text binary", *(f"{n} {fields[c]}" for c, n in zip(own, names, strict=True))]))
     done = done.select("doc_id", F.col("text").cast("string").alias("text"), *(F.col(n).alias(c) for c, n in zip(own, names, strict=True)))
     if "n_chars" in own:
         done = done.withColumn("n_chars", F.char_length("text").cast(fields["n_chars"]))

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 SIZES = (4, 5, 6)
 _P = np.uint64(0x100000001B3)
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -186,7 +188,7 @@ def score(docs: DataFrame, model: Model, folds: int = 5) -> DataFrame:
                 part = batch.slice(lo, 1000)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own.score(part.column(1).to_pylist()))], ["doc_id", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, score double")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == 0, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -203,4 +205,4 @@ def reject(docs: DataFrame, model: Model) -> DataFrame:
                 part = batch.slice(lo, 1000)
                 yield part.filter(pa.array(own.score(part.column(place).to_pylist()) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

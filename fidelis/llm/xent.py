@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import persist_table
+from .common import lean, persist_table
 
 #: Hashes of a document's end, a token like any other, and of what precedes its first word.
 END, START = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
@@ -93,7 +93,7 @@ def _chunked(docs: DataFrame) -> DataFrame:
         if rows:
             yield close()
 
-    return docs.mapInArrow(run, CHUNKS)
+    return docs.mapInArrow(lean(run), CHUNKS)
 
 
 class Chunk:
@@ -143,7 +143,7 @@ def _requests(chunks: DataFrame, parts: int) -> DataFrame:
                 part, kind, n, data = (pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int8(), pa.int64(), pa.binary()), strict=True))
                 yield pa.RecordBatch.from_arrays([part, pa.array([chunk] * len(rows)), kind, n, data], ["part", "chunk", "kind", "n", "data"])
 
-    return chunks.select("chunk", "grps", "sizes", "words", "ids").mapInArrow(run, ASKED)
+    return chunks.select("chunk", "grps", "sizes", "words", "ids").mapInArrow(lean(run), ASKED)
 
 
 def _answers(requests: DataFrame) -> DataFrame:

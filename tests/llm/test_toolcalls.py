@@ -1,4 +1,5 @@
 import json
+import random
 
 import duckdb
 
@@ -77,3 +78,166 @@ def test_oracle(spark):
     want = duckdb.sql(queries.ORACLE_SQL["op5_tool_call_linking"])
     got = queries.op5_tool_call_linking(spark, sf).select(*want.columns)
     assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
+NESTED = {
+    "tools": [
+        {
+            "name": "book",
+            "parameters": {
+                "type": "object",
+                "required": ["who"],
+                "additionalProperties": False,
+                "properties": {
+                    "who": {"type": "object", "required": ["name"], "properties": {"name": {"type": "string", "minLength": 2}, "age": {"type": ["integer", "null"], "minimum": 0}}},
+                    "days": {"type": "array", "maxItems": 3, "items": {"type": "object", "properties": {"d": {"enum": ["mo", "tu", 3]}}, "additionalProperties": {"type": "number", "exclusiveMaximum": 10}}},
+                },
+            },
+        },
+        {"name": "any"},
+    ]
+}
+
+
+def schema_problems(schema, value, path=""):
+    """Plain recursion over a schema, as JSON Schema has it, with the labels of the operator."""
+    types = schema.get("type")
+    types = [types] if isinstance(types, str) else types
+    number = isinstance(value, (int, float)) and not isinstance(value, bool)
+    fits = {"string": isinstance(value, str), "integer": number and value == int(value), "number": number, "boolean": isinstance(value, bool), "array": isinstance(value, list), "object": isinstance(value, dict), "null": value is None}
+    out = [] if types is None or any(fits[t] for t in types) else [f"type:{path}"]
+    if "enum" in schema and not any(e == value and isinstance(e, bool) == isinstance(value, bool) for e in schema["enum"]):
+        out.append(f"enum:{path}")
+    low, high = {str: ("minLength", "maxLength"), list: ("minItems", "maxItems")}.get(type(value), ("minimum", "maximum"))
+    size = len(value) if isinstance(value, (str, list)) else value if number else None
+    if size is not None and (size < schema.get(low, size) or size > schema.get(high, size) or (number and (size <= schema.get("exclusiveMinimum", size - 1) or size >= schema.get("exclusiveMaximum", size + 1)))):
+        out.append(f"bound:{path}")
+    if isinstance(value, dict):
+        here, known, more = path + "." if path else "", schema.get("properties", {}), schema.get("additionalProperties")
+        out += [f"missing:{here}{k}" for k in schema.get("required", []) if k not in value]
+        for k, v in value.items():
+            if k not in known and more is False:
+                out.append(f"extra:{here}{k}")
+            inner = known.get(k, more)
+            out += schema_problems(inner, v, here + k) if isinstance(inner, dict) else []
+    if isinstance(value, list) and isinstance(schema.get("items"), dict):
+        out += [p for i, v in enumerate(value) for p in schema_problems(schema["items"], v, f"{path}[{i}]")]
+    return out
+
+
+def refs_of(value):
+    if isinstance(value, dict):
+        return {v for k, v in value.items() if k == "$ref" and isinstance(v, str)}.union(*map(refs_of, value.values()))
+    return set().union(*map(refs_of, value)) if isinstance(value, list) else set()
+
+
+def linked(rows, tools):
+    """{(conv_id, turn): (slot, level, n_calls, n_linked, problems)} of messages with calls and of results, one at a time."""
+    calls, results, said = {}, {}, {}
+    for conv, turn, role, text in rows:
+        body = json.loads(text)
+        if role == "assistant":
+            said[conv, turn] = body["tool_calls"]
+            for c in body["tool_calls"]:
+                calls.setdefault((conv, c["id"]), (turn, c))
+        elif role == "tool":
+            results.setdefault((conv, body["tool_call_id"]), turn)
+    place = {}
+
+    def settle(key, path=()):
+        if key in path:
+            return None
+        if key not in place:
+            conv, (turn, c) = key[0], calls[key]
+            slot, level = turn, 0
+            for r in refs_of(c["arguments"]):
+                if (conv, r) in calls:
+                    at = settle((conv, r), (*path, key))
+                    if at is None:
+                        place[key] = None
+                        return None
+                    slot, level = max(slot, at[0], results.get((conv, r), slot)), max(level, at[1] + 1)
+            place[key] = slot, level
+        return place[key]
+
+    def cyclic(key):
+        seen, todo = set(), [key]
+        while todo:
+            for r in refs_of(calls[todo.pop()][1]["arguments"]):
+                k = key[0], r
+                if k in calls and k not in seen:
+                    seen.add(k)
+                    todo.append(k)
+        return any(on_cycle(k) for k in seen | {key})
+
+    def on_cycle(key):
+        seen, todo = set(), [key]
+        while todo:
+            for r in refs_of(calls[todo.pop()][1]["arguments"]):
+                k = key[0], r
+                if k == key:
+                    return True
+                if k in calls and k not in seen:
+                    seen.add(k)
+                    todo.append(k)
+        return False
+
+    out = {}
+    for (conv, turn), its in said.items():
+        why, places, n = set(), [(turn, 0)], 0
+        used = set()
+        for c in its:
+            key, args = (conv, c["id"]), c["arguments"]
+            own = calls[key][0] == turn and c["id"] not in used
+            used.add(c["id"])
+            why |= {f"ref:{r}" for r in refs_of(args) if (conv, r) not in calls}
+            schema = tools.get(c["name"], ...)
+            why |= {"tool"} if schema is ... else set(schema_problems(schema or {}, args))
+            at = None if cyclic(key) else settle(key)
+            if not own:
+                why.add("duplicate")
+            else:
+                why |= (set() if key in results else {"no_result"}) | ({"cycle"} if at is None else set())
+                n += key in results
+            if at:
+                places.append(at)
+        out[conv, turn] = (max(s for s, _ in places), max(v for _, v in places), len(its), n, sorted(why))
+    for conv, turn, role, text in rows:
+        if role == "tool":
+            key = conv, json.loads(text)["tool_call_id"]
+            at = out[conv, calls[key][0]] if key in calls else None
+            out[conv, turn] = (max(turn, at[0]), at[1] + 1, 0, 1, []) if at else (turn, 0, 0, 0, ["no_call"])
+    return out
+
+
+def test_random_conversations_against_plain_linker(spark):
+    rng, rows = random.Random(5), []
+    for conv in range(40):
+        rows.append((conv, 0, "system", json.dumps(NESTED)))
+        ids = [f'i{k}"' if k == 3 else f"i{k}" for k in range(rng.randint(2, 9))]
+        for turn in range(1, rng.randint(3, 14)):
+            if rng.random() < 0.35:
+                rows.append((conv, turn, "tool", json.dumps({"tool_call_id": rng.choice([*ids, "none"]), "content": turn})))
+                continue
+            calls = []
+            for _ in range(rng.randint(1, 3)):
+                args = {} if rng.random() < 0.2 else {"who": rng.choice([{"name": "ab", "age": rng.choice([3, -1, None, 2.5, 4.0])}, {"name": "a"}, {"age": "x"}, [], "no", {"name": {"$ref": rng.choice(ids)}}])}
+                if rng.random() < 0.6:
+                    args["days"] = [rng.choice([{"d": "mo"}, {"d": 3.0}, {"d": "we", "n": 12}, {"n": 10, "m": "x"}, {"d": "tu", "n": 1.5}, 7, {"d": {"$ref": rng.choice([*ids, "gone"])}}]) for _ in range(rng.randint(0, 4))]
+                if rng.random() < 0.2:
+                    args["note"] = 'say "$ref": "i0" or \\"$ref":"i1"'
+                calls.append(call(rng.choice(ids), rng.choice(["book", "book", "any", "lost"]), args))
+            rows.append((conv, turn, "assistant", json.dumps({"content": None, "tool_calls": calls})))
+    want = linked(rows, {t["name"]: t.get("parameters") for t in NESTED["tools"]})
+    got = {(r.conv_id, r.turn): (r.slot, r.level, r.n_calls, r.n_linked, r.problems) for r in toolcalls.link(frame(spark, rows)).collect() if r.kind != "message"}
+    assert got == want
+    assert any("cycle" in w[4] for w in want.values()) and any(p.startswith("enum:days[") for w in want.values() for p in w[4])
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    n, written = 200, []
+    rows = [(1, i, "assistant", json.dumps({"tool_calls": [call(f"k{i}", "f", {"v": [{"$ref": f"k{i - 1}"}]} if i else {})]})) for i in range(n)]
+    persist = toolcalls.persist_table
+    monkeypatch.setattr(toolcalls, "persist_table", lambda df, name: written.append(name) or persist(df, name))
+    assert sorted(r.level for r in toolcalls.link(frame(spark, rows)).collect()) == list(range(n))
+    assert written.count("met") <= 11

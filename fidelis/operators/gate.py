@@ -107,7 +107,7 @@ def evaluate(rows: DataFrame, keys: list[str], rules: list[Rule | str], baseline
     others = [k for k in keys if k != label]
     if baseline is not None:
         base = held.where(F.col(label) == baseline).select(*others, F.col("scores").alias("base_scores"), F.col("all_details").alias("base_details"))
-        held = held.join(F.broadcast(base), others, "left") if others else held.crossJoin(F.broadcast(base))  # one baseline row per suite
+        held = held.join(base, others, "left") if others else held.crossJoin(F.broadcast(base))  # without suite keys the baseline is one row
     else:
         held = held.withColumn("base_scores", F.col("scores")).withColumn("base_details", F.col("all_details"))
     literal = F.array(*(F.struct(F.lit(r.metric).alias("metric"), F.lit(r.operator).alias("operator"), F.lit(r.threshold).cast("double").alias("fixed"), F.lit(r.scale).cast("double").alias("scale"), F.lit(r.offset).cast("double").alias("offset")) for r in parsed))

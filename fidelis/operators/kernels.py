@@ -323,8 +323,9 @@ def window_stats(x: np.ndarray, y: np.ndarray, layout: Windows, c1: float = C1,
     xs, ys = np.array(window_starts(w, ww, layout.stride_x)), np.array(window_starts(h, wh, layout.stride_y))
 
     def sums(v: np.ndarray) -> np.ndarray:
-        view = np.lib.stride_tricks.sliding_window_view(v, (wh, ww))[np.ix_(ys, xs)]
-        return view.sum(axis=(2, 3))
+        # columns first, then rows: a view of one axis at a time holds no window of both
+        columns = np.lib.stride_tricks.sliding_window_view(v, ww, axis=1)[:, xs].sum(axis=2)
+        return np.lib.stride_tricks.sliding_window_view(columns, wh, axis=0)[ys].sum(axis=2)
 
     n, d = ww * wh, max(ww * wh - 1, 1)
     sx, sy, sxx, syy, sxy = sums(x), sums(y), sums(x * x), sums(y * y), sums(x * y)

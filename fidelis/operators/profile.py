@@ -58,6 +58,7 @@ def image_statistics(frame: Frame, bins: int = 16) -> dict[str, Any]:
         "red_mean": mr, "green_mean": mg, "blue_mean": mb, "normalized_rgb": share, "red_minus_blue": rmb, "green_magenta": gm, "warm_cool_score": rmb + 0.25 * (mg - mb),
         "white_balance_gains": [total / 3.0 / max(m, 1 / 255) for m in (mr, mg, mb)], "dominant_channel": max((mr, 0, "red"), (mg, 1, "green"), (mb, 2, "blue"))[2],
     }
+    # Thresholds and names of the tendencies.
     three = lambda v, low, high, names: names[0] if v < low else names[2] if v > high else names[1]
     tendencies = {
         "exposure": three(cl["mean"], 0.25, 0.75, ("dark", "balanced", "bright")), "contrast": three(cl["std_dev"], 0.08, 0.24, ("low", "medium", "high")),

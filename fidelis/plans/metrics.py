@@ -78,12 +78,16 @@ def compare_pairs(pairs: DataFrame, metrics: Any = None, keep: list[str] | None
 def compare_candidates(reference: DataFrame, candidates: DataFrame, metrics: Any = None, on: list[str] | None = None) -> DataFrame:
     """Every candidate (on, label, ord, frame) against the reference frame of its suite (on, frame).
 
-    References are joined by key; without keys there is one reference, a single row.
+    References are joined by key; without keys there must be a single reference row.
     """
     r = reference.select(*(on or []), F.col("frame").alias("reference"))
     c = candidates.withColumnRenamed("frame", "distorted")
-    pairs = c.join(r, on) if on else c.crossJoin(F.broadcast(r.limit(1)))
-    return compare_pairs(pairs, metrics)
+    if on:
+        return compare_pairs(c.join(r, on), metrics)
+    # more than one reference is an error, not a choice between them
+    one = r.limit(2).agg(F.count("*").alias("n"), F.first("reference").alias("reference"))
+    one = one.select(F.when(F.col("n") > 1, F.raise_error(F.lit("several references without a key to join them by"))).otherwise(F.col("reference")).alias("reference"), "n").where("n > 0").drop("n")
+    return compare_pairs(c.crossJoin(F.broadcast(one)), metrics)
 
 
 def first_error(rows: DataFrame) -> None:

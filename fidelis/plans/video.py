@@ -52,7 +52,7 @@ def compare_by_time(
         moved = timeline.apply_transform(distorted_times, *transform)
     elif estimate:
         fit = timeline.estimate_transform(reference_times, distorted_times, by)
-        joined = distorted_times.join(F.broadcast(fit), by, "left") if by else distorted_times.crossJoin(F.broadcast(fit))  # a row per video pair
+        joined = distorted_times.join(fit, by, "left") if by else distorted_times.crossJoin(F.broadcast(fit))  # without keys the fit is one row
         moved = timeline.apply_transform(joined, F.coalesce("scale", F.lit(1.0)), F.coalesce("offset", F.lit(0.0))).drop("scale", "offset")
     else:
         moved = distorted_times

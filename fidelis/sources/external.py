@@ -42,16 +42,21 @@ def run_external(pairs: DataFrame, command: list[str], name: str, unit: str = "u
             rows: list[dict[str, Any]] = []
             for r in pdf.to_dict("records"):
                 args = [a.replace("{reference}", r["reference"]).replace("{distorted}", r["distorted"]) for a in command]
-                done = subprocess.run(args, capture_output=True, text=True, timeout=timeout, check=False)
                 score, error = None, None
-                if done.returncode:
+                try:
+                    done = subprocess.run(args, capture_output=True, text=True, timeout=timeout, check=False)
+                except (subprocess.TimeoutExpired, OSError) as e:
+                    done, error = None, str(e)
+                if done is None:
+                    pass
+                elif done.returncode:
                     error = f"status {done.returncode}: {done.stderr[:1000]}"
                 elif parse:
                     try:
                         score = first_float(done.stdout)
                     except UnsupportedInput as e:
                         error = str(e)
-                rows.append({**{k: r[k] for k in keep}, "name": name, "score": score, "unit": unit, "direction": direction, "stdout": done.stdout, "error": error})
+                rows.append({**{k: r[k] for k in keep}, "name": name, "score": score, "unit": unit, "direction": direction, "stdout": done and done.stdout, "error": error})
             yield pd.DataFrame(rows, columns=[*keep, "name", "score", "unit", "direction", "stdout", "error"])
 
     types = dict(pairs.dtypes)

@@ -1,4 +1,4 @@
-"""Reports: metric rows as CSV or JSON, suite rows, Parquet report tables, small YAML, TOML and SQLite reports."""
+"""Reports: metric rows as CSV or JSON, suite rows, Parquet report tables, small YAML, TOML, text and SQLite reports."""
 
 from __future__ import annotations
 
@@ -92,20 +92,77 @@ def to_toml(value: dict[str, Any], prefix: str = "") -> str:
     return "".join(lines)
 
 
+# The tables of a local report file.
+SQLITE_TABLES = {
+    "reports": "id INTEGER PRIMARY KEY AUTOINCREMENT, kind TEXT NOT NULL, reference TEXT, distorted TEXT, width INTEGER, height INTEGER, compared_frames INTEGER, payload_json TEXT NOT NULL, created_at TEXT NOT NULL DEFAULT CURRENT_TIMESTAMP",
+    "metrics": "id INTEGER PRIMARY KEY AUTOINCREMENT, report_id INTEGER NOT NULL REFERENCES reports(id) ON DELETE CASCADE, scope TEXT NOT NULL, frame_index INTEGER, pts_seconds REAL, name TEXT NOT NULL, score REAL NOT NULL, unit TEXT NOT NULL, direction TEXT NOT NULL, details_json TEXT NOT NULL",
+    "probe_reports": "id INTEGER PRIMARY KEY AUTOINCREMENT, input TEXT NOT NULL, width INTEGER NOT NULL, height INTEGER NOT NULL, avg_frame_rate REAL, nb_frames INTEGER, codec_name TEXT, duration_seconds REAL, payload_json TEXT NOT NULL, created_at TEXT NOT NULL DEFAULT CURRENT_TIMESTAMP",
+    "formats": "format TEXT PRIMARY KEY",
+    "image_stats": "id INTEGER PRIMARY KEY AUTOINCREMENT, input TEXT NOT NULL, width INTEGER NOT NULL, height INTEGER NOT NULL, pixels INTEGER NOT NULL, exposure TEXT NOT NULL, contrast TEXT NOT NULL, saturation TEXT NOT NULL, temperature TEXT NOT NULL, tint TEXT NOT NULL, dominant_channel TEXT NOT NULL, payload_json TEXT NOT NULL, created_at TEXT NOT NULL DEFAULT CURRENT_TIMESTAMP",
+}
+
+
+def write_sqlite(path: str, tables: dict[str, list[dict[str, Any]]]) -> int:
+    """Append small rows to the tables of a local SQLite file in one transaction; returns the id of the last report.
+
+    Metrics without a report_id belong to the report written with them. Numbers that are not finite are stored by name.
+    """
+    import sqlite3
+    from contextlib import closing
+
+    def value(v: Any) -> Any:
+        return json.dumps(plain(v)) if isinstance(v, (dict, list)) else plain(v)
+
+    report = 0
+    with closing(sqlite3.connect(path)) as db, db:
+        db.execute("PRAGMA foreign_keys = ON")
+        for name, columns in SQLITE_TABLES.items():
+            db.execute(f"CREATE TABLE IF NOT EXISTS {name} ({columns})")
+        for name in SQLITE_TABLES:
+            for row in tables.get(name, []):
+                row = {"report_id": report, **row} if name == "metrics" else row
+                found = db.execute(f"INSERT {'OR IGNORE ' if name == 'formats' else ''}INTO {name} ({', '.join(row)}) VALUES ({', '.join('?' * len(row))})", [value(v) for v in row.values()])
+                report = int(found.lastrowid or 0) if name == "reports" else report
+    return report
+
+
 def append_sqlite(path: str, report: dict[str, Any], metrics: list[dict[str, Any]]) -> int:
     """One small report and its metric rows in one transaction of a local SQLite file; returns the report's id."""
-    import sqlite3
+    columns = ("kind", "reference", "distorted", "width", "height", "compared_frames")
+    rows = [{"scope": m.get("scope", "image"), "frame_index": m.get("frame_index"), "pts_seconds": m.get("pts_seconds"), **{c: m[c] for c in ("name", "score", "unit", "direction")}, "details_json": m.get("details") or {}} for m in metrics]
+    return write_sqlite(path, {"reports": [{**{c: report.get(c) for c in columns}, "payload_json": report}], "metrics": rows})
+
+
+def append_probes_sqlite(path: str, probes: list[dict[str, Any]]) -> None:
+    """Rows of :func:`fidelis.sources.probe.streams`."""
+    columns = {"input": "input", "width": "width", "height": "height", "avg_frame_rate": "avg_rate", "nb_frames": "nb_frames", "codec_name": "codec_name", "duration_seconds": "duration_seconds"}
+    write_sqlite(path, {"probe_reports": [{**{k: p.get(v) for k, v in columns.items()}, "payload_json": p} for p in probes]})
+
 
-    text = lambda v: v if v is None or isinstance(v, (int, str)) or math.isfinite(v) else plain(v)
-    with sqlite3.connect(path) as db:
-        db.execute("CREATE TABLE IF NOT EXISTS reports (id INTEGER PRIMARY KEY, kind TEXT NOT NULL, reference TEXT, distorted TEXT, width INTEGER, height INTEGER, compared_frames INTEGER, payload_json TEXT NOT NULL, created_at TEXT DEFAULT CURRENT_TIMESTAMP)")
-        db.execute("CREATE TABLE IF NOT EXISTS metrics (id INTEGER PRIMARY KEY, report_id INTEGER NOT NULL, scope TEXT NOT NULL, frame_index INTEGER, pts_seconds REAL, name TEXT NOT NULL, score REAL NOT NULL, unit TEXT NOT NULL, direction TEXT NOT NULL, details_json TEXT NOT NULL)")
-        columns = ("kind", "reference", "distorted", "width", "height", "compared_frames")
-        found = db.execute("INSERT INTO reports (kind, reference, distorted, width, height, compared_frames, payload_json) VALUES (?,?,?,?,?,?,?)", (*(report.get(c) for c in columns), json.dumps(plain(report))))
-        for m in metrics:
-            db.execute("INSERT INTO metrics (report_id, scope, frame_index, pts_seconds, name, score, unit, direction, details_json) VALUES (?,?,?,?,?,?,?,?,?)", (found.lastrowid, m.get("scope", "image"), m.get("frame_index"), m.get("pts_seconds"), m["name"], text(m["score"]), m["unit"], m["direction"], json.dumps(plain(m.get("details") or {}))))
-    db.close()
-    return int(found.lastrowid or 0)
+def append_stats_sqlite(path: str, profiles: list[dict[str, Any]]) -> None:
+    """Image profiles, each with its input."""
+    kinds = ("exposure", "contrast", "saturation", "temperature", "tint")
+    write_sqlite(path, {"image_stats": [{**{k: p[k] for k in ("input", "width", "height", "pixels")}, **{k: p["tendencies"][k] for k in kinds}, "dominant_channel": p["color_balance"]["dominant_channel"], "payload_json": p} for p in profiles]})
+
+
+def to_text(value: Any) -> str:
+    """A small report for readers: rows as a table, other values as lines of name and value, nested ones indented."""
+    value = plain(value)
+    show = lambda v: "-" if v is None else f"{v:.6g}" if isinstance(v, float) else ("yes" if v else "no") if isinstance(v, bool) else json.dumps(v, sort_keys=True) if isinstance(v, (dict, list)) else str(v)
+    if isinstance(value, list) and value and all(isinstance(r, dict) for r in value):
+        names = list(dict.fromkeys(k for r in value for k in r))
+        rows = [names, *([show(r.get(k)) for k in names] for r in value)]
+        widths = [max(len(r[i]) for r in rows) for i in range(len(names))]
+        return "".join("  ".join(c.ljust(w) for c, w in zip(r, widths, strict=True)).rstrip() + "\n" for r in rows)
+    if isinstance(value, dict):
+        out = ""
+        for k, v in value.items():
+            if isinstance(v, (dict, list)) and v:
+                out += f"{k}:\n" + "".join(f"  {line}\n" for line in to_text(v).splitlines())
+            else:
+                out += f"{k}: {show(v)}\n"
+        return out
+    return "".join(f"{show(v)}\n" for v in value) if isinstance(value, list) else f"{show(value)}\n"
 
 
 def stats_rows(profiles: DataFrame) -> DataFrame:

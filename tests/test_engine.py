@@ -307,3 +307,11 @@ def test_streaming_means(spark, tmp_path):
     want = [r.score for r in batch.collect() if r.name == "mse"]
     assert last.frames == 6 and last.score == pytest.approx(np.mean(want))
 
+
+
+def test_several_references_need_a_key(spark):
+    red = frames.packed(bytes([255, 0, 0, 255] * 4), 2, 2, "rgba8")
+    one = reference(spark, red)
+    with pytest.raises(Exception, match="several references"):
+        metrics.compare_candidates(one.union(one), candidates(spark, {"x": red}), "mse").collect()
+    assert metrics.compare_candidates(one.limit(0), candidates(spark, {"x": red}), "mse").count() == 0

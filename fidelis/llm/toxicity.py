@@ -2,7 +2,7 @@
 
 Features are the distinct character n-grams (4 to 6 code points, lower-cased) of a text. From labelled texts
 each gets the log-count ratio r of the two classes (smoothed, over documents); features whose ratio is
-significant are kept, scaled by r, and a logistic regression is fitted on the scaled features.
+significant are kept, scaled by r, and a logistic regression is fitted on the scaled features by a fixed number of steps.
 """
 
 from __future__ import annotations

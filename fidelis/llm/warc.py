@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,25 +29,27 @@ ARCHIVE_BYTES = 8 << 20
 RECORDS = "archive string, position int, page_id long, uri string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long, headers map<string,string>, error string"
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_NAMES, str(page_id))}>"
+def record_id(page_id: int | None, digest: str, place: str = "") -> str:
+    """An id that others can derive from page and payload; ``place`` sets apart what no record refers to."""
+    return f"<urn:uuid:{uuid.uuid5(_NAMES, f'{page_id} {digest} {place}')}>"
 
 
 def _clean(text: str) -> str:
     return "".join(c if c > " " and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in text)
 
 
-def build_record(page_id: int | None, uri: str | None, payload: bytes, digest: str, refers_to: int | None, date: str = "2024-01-01T00:00:00Z") -> bytes:
+def build_record(page_id: int | None, uri: str | None, payload: bytes, digest: str, refers_to: int | None, date: str = "2024-01-01T00:00:00Z", place: str = "") -> bytes:
     """One WARC/1.1 record: a response with its payload, or a revisit with the HTTP header only."""
+    own = "" if refers_to is None and page_id is not None else place
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers_to is not None else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {date}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id, digest, own)}", f"WARC-Date: {date}"]
     if page_id is not None:
         head.append(f"X-Page-Id: {page_id}")
     if uri is not None:
         head.append(f"WARC-Target-URI: {_clean(uri)}")
     if refers_to is not None:
-        head += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Page-Id: {refers_to}"]
+        head += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"X-Refers-To-Page-Id: {refers_to}"]
     head += [f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{hashlib.sha1(block).hexdigest()}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -179,10 +182,11 @@ def write_archives(records: DataFrame, dictionary: bytes, level: int = 3) -> Dat
             content = b"".join(frames)
             return pa.RecordBatch.from_arrays([pa.array([hashlib.sha1(content).hexdigest() + ".warc.zst"]), pa.array([content], pa.binary())], ["archive", "content"])
 
-        frames, size = [lead], 0
+        frames, size, part, at = [lead], 0, TaskContext.get().partitionId(), 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                frames.append(squeeze.compress(build_record(*row)))
+                frames.append(squeeze.compress(build_record(*row, place=f"{part}/{at}")))
+                at += 1
                 size += len(frames[-1])
                 if size >= ARCHIVE_BYTES:
                     yield close(frames)
@@ -223,7 +227,7 @@ def archive_pages(pages: DataFrame, sample_rows: int = 1000, least_bytes: int =
 
     The dictionary is trained on the at most ``sample_rows`` pages with the smallest hashes of page_id. A null
     html is an empty payload; a null url gives no target header. Rows that repeat the largest page_id of a
-    payload are responses too; a null page_id never is what others refer to. No pages: no archives.
+    payload are responses too, and share their record id; all other records have ids of their own. A null page_id never is what others refer to. No pages: no archives.
     """
     some = pages.where("page_id is not null").select(F.xxhash64("page_id").alias("h"), "page_id").orderBy("h", "page_id").limit(sample_rows)
     chosen = pages.join(F.broadcast(some.select("page_id").distinct()), "page_id").where(F.octet_length("html") < 65536).select(F.col("html").cast("binary")).limit(2 * sample_rows)
